@@ -26,8 +26,13 @@ def strip(column: Column) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``, inside one expression."""
-    return F.transform(F.array(value), body).getItem(0)
+    """Evaluate ``value`` once and use it many times in ``body``, inside one expression.
+
+    An ``aggregate`` over nothing: the start value goes straight to the last step. (A one-element
+    ``transform`` would do too, but copies its result, which adds up when steps are nested.)
+    """
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda kept, _: kept, body)
 
 
 def constant(value, ddl: str) -> Column:
