@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.functions.expressions import constant
+from provender.functions.partitions import spread
 from provender.sources.readers import (
     NORMALIZED_PRODUCT_TYPE,
     missing_to_null,
@@ -129,7 +130,7 @@ def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two joins on dimension keys; Spark broadcasts part and supplier while their files are small
     and shuffles (with skew handling) beyond that.
     """
-    lines = read(spark, sf_dir, "lineitem").select(*LINE_KEYS)
+    lines = spread(read(spark, sf_dir, "lineitem").select(*LINE_KEYS))
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     df = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
