@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provender import schema as S
-from provender.functions.expressions import broadcast_if_small, lookup
+from provender.functions.expressions import MAX_BROADCAST_ROWS, broadcast_if_small, lookup
 from provender.functions.ranking import rank_within
+from provender.rules.ruleset import MAX_TABLE_ROWS
 
 ORDER = ["file_no", S.ROW_ID]
 
@@ -92,22 +93,38 @@ def mask_vectors(masks: DataFrame, index: DataFrame) -> DataFrame:
     return seen.select(_col(S.FPG), multi_hot(F.col("_seen"), size).alias("mask"))
 
 
-def encode_labels(df: DataFrame, index: DataFrame, labels: list[str] = S.LABELS) -> DataFrame:
+def encode_labels(
+    df: DataFrame,
+    index: DataFrame,
+    labels: list[str] = S.LABELS,
+    max_literal_rows: int = MAX_TABLE_ROWS,
+) -> DataFrame:
     """Add ``<label>_index`` for each label; the sub-type columns share one vocabulary.
 
-    ``index`` is persisted once and each head is joined as a broadcast dimension after a check of
-    its size, so the rows themselves are not shuffled.
+    A vocabulary of up to ``max_literal_rows`` becomes a literal of the plan, so encoding is one
+    pass over the rows without a join. A larger one is joined head by head, as a broadcast where
+    the head's size allows it and with a shuffle where not.
     """
     index = index.persist()
-    dimensions: dict[str, DataFrame] = {}
+    heads = {c: S.SUB_TYPES if c in S.SUB_TYPE_COLUMNS else c for c in labels}
+    known = index.limit(max_literal_rows + 1).collect()
+    if len(known) <= max_literal_rows:
+        tables: dict[str, dict[str, int]] = {head: {} for head in heads.values()}
+        for row in known:
+            if row["column"] in tables:
+                tables[row["column"]][row["label"]] = row["index"]
+        return df.withColumns(
+            {f"{c}_index": lookup(_col(c), tables[heads[c]], "int") for c in labels}
+        )
+    sizes = {row["column"]: row["count"] for row in index.groupBy("column").count().collect()}
     result = df
     for label in labels:
-        head = S.SUB_TYPES if label in S.SUB_TYPE_COLUMNS else label
-        if head not in dimensions:
-            part = index.filter(F.col("column") == head).select("label", "index")
-            dimensions[head] = broadcast_if_small(part)
         key, value = f"{label} key", f"{label}_index"
-        part = dimensions[head].select(F.col("label").alias(key), F.col("index").alias(value))
+        part = index.filter(F.col("column") == heads[label]).select(
+            F.col("label").alias(key), F.col("index").alias(value)
+        )
+        if sizes.get(heads[label], 0) <= MAX_BROADCAST_ROWS:
+            part = F.broadcast(part)
         result = result.join(part, _col(label) == F.col(S.quoted(key)), "left").drop(key)
     return result
 

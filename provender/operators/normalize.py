@@ -8,6 +8,7 @@ rows are independent, so the work splits over any number of tasks and no key can
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -295,6 +296,14 @@ def fold_name(name: Column, group: Column, category: Column, primary: Column, ru
 
 def row_state(rules: RuleSet) -> Column:
     """The state of each row, by its route: non-food, product-type override, or fold."""
+    # Expressions live in the JVM they were built in.
+    jvm = id(SparkContext._gateway)
+    if jvm not in rules.compiled:
+        rules.compiled[jvm] = _row_state(rules)
+    return rules.compiled[jvm]
+
+
+def _row_state(rules: RuleSet) -> Column:
     product_type, name = F.col(S.quoted(S.PRODUCT_TYPE)), F.col(S.quoted(S.PRODUCT_NAME))
     group, category, primary = (F.col(S.quoted(c)) for c in S.CATEGORY_LABELS)
     overrides = {k: _state_literal(v, "override") for k, v in rules.overrides.items()}

@@ -182,7 +182,7 @@ FROM (SELECT unnest([v1, v2, v3]) AS x FROM named) WHERE x IS NOT NULL GROUP BY
 _SLOT = dict(zip(S.NORMALIZED_COLUMNS, O._V)) | {S.FPG: "fpg", S.FPC: "fpc", S.PFPC: "pfpc"}
 _TRAINING = f"""{FULL_CTES},
 training AS (
-  SELECT row_id, uid, pt AS "Product Type",
+  SELECT nid, row_id, uid, pt AS "Product Type",
          {", ".join(f"coalesce({_SLOT[c]}, 'None') AS " + f'"{c}"' for c in S.LABELS)}
   FROM named
   WHERE pt IS NOT NULL AND fpg IS NOT NULL AND fpc IS NOT NULL AND pfpc IS NOT NULL
@@ -260,12 +260,12 @@ _ORACLE["encode_rows"] = (
 )
 _ORACLE["multi_hot"] = f"""{_TRAINING},
 ones AS (
-  SELECT DISTINCT t.row_id, i.index
-  FROM (SELECT row_id, unnest(["Sub-Type 1", "Sub-Type 2", "Sub-Type 3"]) AS label FROM training) t
+  SELECT DISTINCT t.nid, i.index
+  FROM (SELECT nid, unnest(["Sub-Type 1", "Sub-Type 2", "Sub-Type 3"]) AS label FROM training) t
   JOIN label_index i ON i."column" = 'Sub-Types' AND i.label = t.label WHERE t.label <> 'None'
 )
 SELECT t.row_id, coalesce(string_agg(index::VARCHAR, '|' ORDER BY index), '') AS ones
-FROM training t LEFT JOIN ones USING (row_id) GROUP BY t.row_id"""
+FROM training t LEFT JOIN ones USING (nid) GROUP BY t.nid, t.row_id"""
 
 # --- decoding ------------------------------------------------------------------------------------
 

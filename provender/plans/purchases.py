@@ -172,7 +172,7 @@ def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return df.select(
+    row = F.struct(
         F.concat_ws("-", *[F.lpad(F.col(k).cast("string"), 12, "0") for k in LINE_KEYS]).alias(
             S.ROW_ID
         ),
@@ -187,6 +187,8 @@ def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("case.c").alias(S.FPC),
         F.col("case.p").alias(S.PFPC),
     )
+    # Built once per row: filters further up must not be pushed below and build it again.
+    return df.select(F.inline(F.array(row)))
 
 
 def loaded_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,12 +224,17 @@ def q_normalized_name(spark, sf):
     return normalized(spark, sf).select("Unique Id", S.quoted(S.NORMALIZED_NAME))
 
 
+def _for_sorting(spark, sf):
+    """A sort reads its input twice, once to find its ranges, so the names are kept."""
+    return normalized(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def q_name_diff(spark, sf):
-    return report.name_differences(normalized(spark, sf))
+    return report.name_differences(_for_sorting(spark, sf))
 
 
 def q_misc_overflow(spark, sf):
-    return report.misc_overflow(normalized(spark, sf), as_text=True)
+    return report.misc_overflow(_for_sorting(spark, sf), as_text=True)
 
 
 def q_scoring_export(spark, sf):
@@ -236,7 +242,7 @@ def q_scoring_export(spark, sf):
 
 
 def q_normalized_export(spark, sf):
-    return report.normalized_export(normalized(spark, sf))
+    return report.normalized_export(_for_sorting(spark, sf))
 
 
 def q_value_counts(spark, sf):

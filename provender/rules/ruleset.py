@@ -83,6 +83,8 @@ class RuleSet:
     token_rules: tuple[Rule, ...]
     subtype_rules: tuple[Rule, ...]
     unplaced_tags: dict[str, list[str]] = field(default_factory=dict)
+    # Expressions built from this pack, kept because building one takes a second.
+    compiled: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def starter(cls, tag_scoping: str = "cumulative") -> "RuleSet":
@@ -175,7 +177,7 @@ class RuleSet:
 
     def with_rules(self, **changes) -> "RuleSet":
         """A copy with some fields changed, checked again."""
-        pack = replace(self, **changes)
+        pack = replace(self, compiled={}, **changes)
         pack.validate()
         return pack
 
