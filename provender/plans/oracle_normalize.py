@@ -176,11 +176,20 @@ def _mapped(table: dict) -> str:
     )
 
 
+def _packed(table: dict) -> str:
+    """Lookup table rows: key, sub-types, and all other values as one list."""
+    columns = ["Basic Type", *S.TAG_COLUMNS, *S.CATEGORY_LABELS]
+    return rows(
+        [text(key), strings(row.get("Sub-Types", [])), strings(row.get(c) for c in columns)]
+        for key, row in table.items()
+    )
+
+
 _KEYED = "key, bt, st, " + ", ".join(TAG_FIELDS) + ", fpg, fpc, pfpc"
 
 TOKENS = f"""
 type_map({_KEYED}) AS (SELECT * FROM {_mapped(V.TYPE_MAP)}),
-override({_KEYED}) AS (SELECT * FROM {_mapped(V.PRODUCT_TYPE_OVERRIDES)}),
+override(key, st, vals) AS (SELECT * FROM {_packed(V.PRODUCT_TYPE_OVERRIDES)}),
 folded_rows AS MATERIALIZED (
   SELECT nid, pt, pn, fpg, fpc, pfpc, CASE WHEN fpc = 'Meals' THEN pfpc ELSE fpc END AS tagcat
   FROM cleaned
@@ -448,25 +457,33 @@ final_st AS (
 states AS (
   SELECT nid, 'fold' AS route, bt1, stf, fpg1, fpc1, pfpc1, {", ".join(TAG_FIELDS)} FROM final_st
   UNION ALL
-  SELECT c.nid, 'override', o.bt, o.st, coalesce(o.fpg, c.fpg), coalesce(o.fpc, c.fpc),
-         coalesce(o.pfpc, c.pfpc), {", ".join(f"o.{f}::VARCHAR" for f in TAG_FIELDS)}
+  SELECT c.nid, 'override', o.vals[1], o.st, coalesce(o.vals[15], c.fpg),
+         coalesce(o.vals[16], c.fpc), coalesce(o.vals[17], c.pfpc),
+         {", ".join(f"o.vals[{i + 2}]" for i in range(len(TAG_FIELDS)))}
   FROM cleaned c JOIN override o ON o.key = c.pt WHERE c.fpc IS DISTINCT FROM 'Non-Food'
   UNION ALL
   SELECT nid, 'non-food', NULL, []::VARCHAR[], fpg, fpc, pfpc, {", ".join("NULL" for _ in TAG_FIELDS)}
   FROM cleaned WHERE fpc = 'Non-Food'
 ),
+packed_states AS (
+  SELECT nid, stf, [route, fpg1, fpc1, pfpc1, bt1, stf[1], stf[2], stf[3],
+                    {", ".join(TAG_FIELDS)}] AS vals FROM states
+),
+packed_rows AS (SELECT nid, [row_id, uid, origin, pt, pn] AS ids FROM cleaned),
 slots AS (
-  SELECT *, stf[1] AS x1, stf[2] AS x2, stf[3] AS x3 FROM states
+  SELECT nid, stf, ids[1] AS row_id, ids[2] AS uid, ids[3] AS origin, ids[4] AS pt, ids[5] AS pn,
+         vals[1] AS route, vals[2] AS fpg, vals[3] AS fpc, vals[4] AS pfpc,
+         {", ".join(f"vals[{i + 5}] AS {v}" for i, v in enumerate(_VALUES))}
+  FROM packed_states JOIN packed_rows USING (nid)
 ),
 normalized AS MATERIALIZED (
-  SELECT c.nid, c.row_id, c.uid, c.origin, c.pt, c.pn, s.route, s.fpg1 AS fpg, s.fpc1 AS fpc,
-         s.pfpc1 AS pfpc, s.stf,
+  SELECT nid, row_id, uid, origin, pt, pn, route, fpg, fpc, pfpc, stf,
          CASE WHEN route = 'non-food' THEN NULL ELSE stf[4:] END AS misc,
          {", ".join(
              f"CASE WHEN route = 'fold' THEN {_unique(i)} ELSE {_VALUES[i]} END AS v{i}"
              for i in range(len(_VALUES))
          )}
-  FROM slots s JOIN cleaned c USING (nid)
+  FROM slots
 ),
 named AS (SELECT *, concat_ws(', ', {_SLOTS}) AS name FROM normalized)"""
 
