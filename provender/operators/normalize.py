@@ -452,20 +452,20 @@ def normalize_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
         *[F.get(F.col("st"), F.lit(i)) for i in range(len(S.SUB_TYPE_COLUMNS))],
         *[F.col(f) for f in _TAG_FIELDS],
     )
-    row = state.select(
-        *[F.col(S.quoted(c)) for c in kept],
+    row = F.struct(
         F.when(folded, without_repeats(values)).otherwise(values).alias("values"),
-        F.col("st").alias(S.SUB_TYPES),
+        F.col("st"),
         F.when(
             F.col("route") != "non-food",
             F.slice(F.col("st"), F.lit(4), F.greatest(F.size("st"), F.lit(1))),
-        ).alias(S.MISC),
+        ).alias("misc"),
     )
+    row = state.select(*[F.col(S.quoted(c)) for c in kept], F.inline(F.array(row)))
     return row.select(
         *[F.col(S.quoted(c)) for c in kept],
         *[F.get(F.col("values"), F.lit(i)).alias(c) for i, c in enumerate(S.NORMALIZED_COLUMNS)],
-        F.col(S.quoted(S.SUB_TYPES)),
-        F.col(S.MISC),
+        F.col("st").alias(S.SUB_TYPES),
+        F.col("misc").alias(S.MISC),
         F.array_join("values", ", ").alias(S.NORMALIZED_NAME),
     )
 
