@@ -24,10 +24,11 @@ NON_FOOD = "Non-Food"
 # Names of the state fields inside the fold, one per tag column.
 _TAG_FIELDS = [f"c{i}" for i in range(len(S.TAG_COLUMNS))]
 _CATEGORY_FIELDS = ["fpg", "fpc", "pfpc"]
+_TAGS_DDL = "struct<" + ",".join(f"{c}:string" for c in _TAG_FIELDS) + ">"
+_CATEGORIES_DDL = "struct<" + ",".join(f"{c}:string" for c in _CATEGORY_FIELDS) + ">"
+# ``tags`` is a struct of its own, so that a token that changes no column hands it on whole.
 _STATE_DDL = (
-    "struct<route:string,bt:string,st:array<string>,"
-    + ",".join(f"{c}:string" for c in _TAG_FIELDS + _CATEGORY_FIELDS)
-    + ">"
+    f"struct<route:string,bt:string,st:array<string>,tags:{_TAGS_DDL},cats:{_CATEGORIES_DDL}>"
 )
 _NO_SUBTYPES = "array<string>"
 
@@ -49,9 +50,13 @@ def split_tokens(name: Column, rules: RuleSet) -> Column:
 
 
 def _state_literal(row: dict, route: str) -> dict:
-    state = {"route": route, "bt": row.get(S.BASIC_TYPE), "st": list(row.get(S.SUB_TYPES, []))}
-    state |= {f: row.get(c) for f, c in zip(_TAG_FIELDS, S.TAG_COLUMNS)}
-    return state | {f: row.get(c) for f, c in zip(_CATEGORY_FIELDS, S.CATEGORY_LABELS)}
+    return {
+        "route": route,
+        "bt": row.get(S.BASIC_TYPE),
+        "st": list(row.get(S.SUB_TYPES, [])),
+        "tags": {f: row.get(c) for f, c in zip(_TAG_FIELDS, S.TAG_COLUMNS)},
+        "cats": {f: row.get(c) for f, c in zip(_CATEGORY_FIELDS, S.CATEGORY_LABELS)},
+    }
 
 
 def initial_state(basic_type: Column, rules: RuleSet) -> Column:
@@ -60,11 +65,11 @@ def initial_state(basic_type: Column, rules: RuleSet) -> Column:
         key: _state_literal({S.BASIC_TYPE: key, **row}, "fold")
         for key, row in rules.type_map.items()
     }
+    empty = constant(_state_literal({}, "fold"), _STATE_DDL)
     plain = F.struct(
-        F.lit("fold").alias("route"),
+        empty["route"].alias("route"),
         basic_type.alias("bt"),
-        _empty().alias("st"),
-        *[F.lit(None).cast("string").alias(f) for f in _TAG_FIELDS + _CATEGORY_FIELDS],
+        *[empty[f].alias(f) for f in ("st", "tags", "cats")],
     )
     return F.coalesce(lookup(basic_type, table, _STATE_DDL), plain)
 
@@ -86,8 +91,7 @@ _RULE_DDL = (
         )
     )
     + ",drop:boolean,rename:string,self:boolean,retype:string,front:boolean,add:array<string>,"
-    + ",".join(f"{c}:string" for c in _TAG_FIELDS)
-    + ">"
+    + f"tags:{_TAGS_DDL}>"
 )
 _WORD_DDL = (
     "struct<col:int,categories:array<string>,not_groups:array<string>,"
@@ -113,7 +117,11 @@ def _rule_row(rule: Rule, when: When, rules: RuleSet, add: list[str] | None) ->
         "front": rule.front,
         "add": add,
     }
-    return row | {f: rule.assign[c] for f, c in zip(_TAG_FIELDS, S.TAG_COLUMNS) if c in rule.assign}
+    if rule.assign:
+        row["tags"] = {
+            f: rule.assign[c] for f, c in zip(_TAG_FIELDS, S.TAG_COLUMNS) if c in rule.assign
+        }
+    return row
 
 
 def _compile(rules: RuleSet) -> tuple[list[dict], dict[str, dict]]:
@@ -224,9 +232,9 @@ class _Fold:
         out, word = left["token"], left["word"]
 
         def held(column: Column) -> Column:
-            value = F.when(column == 0, state[_TAG_FIELDS[0]])
+            value = F.when(column == 0, state["tags"][_TAG_FIELDS[0]])
             for i, field in enumerate(_TAG_FIELDS[1:], start=1):
-                value = value.when(column == i, state[field])
+                value = value.when(column == i, state["tags"][field])
             return value
 
         def with_column(column: Column) -> Column:
@@ -264,18 +272,21 @@ class _Fold:
             .when(front, F.array_union(add, state["st"]))
             .otherwise(F.array_union(state["st"], add))
         )
-        tags = [
-            F.when(place == i, out)
-            .otherwise(F.coalesce(rule[field], state[field]))
-            .alias(field)
-            for i, field in enumerate(_TAG_FIELDS)
-        ]
+        changed = F.struct(
+            *[
+                F.when(place == i, out)
+                .otherwise(F.coalesce(rule["tags"][field], state["tags"][field]))
+                .alias(field)
+                for i, field in enumerate(_TAG_FIELDS)
+            ]
+        )
+        tags = F.when(place.isNull() & rule["tags"].isNull(), state["tags"]).otherwise(changed)
         return F.struct(
             state["route"].alias("route"),
             basic_type.alias("bt"),
             subtypes.alias("st"),
-            *tags,
-            *[state[f].alias(f) for f in _CATEGORY_FIELDS],
+            tags.alias("tags"),
+            state["cats"].alias("cats"),
         )
 
 
@@ -307,12 +318,7 @@ def _row_state(rules: RuleSet) -> Column:
     product_type, name = F.col(S.quoted(S.PRODUCT_TYPE)), F.col(S.quoted(S.PRODUCT_NAME))
     group, category, primary = (F.col(S.quoted(c)) for c in S.CATEGORY_LABELS)
     overrides = {k: _state_literal(v, "override") for k, v in rules.overrides.items()}
-    non_food = F.struct(
-        F.lit("non-food").alias("route"),
-        F.lit(None).cast("string").alias("bt"),
-        _empty().alias("st"),
-        *[F.lit(None).cast("string").alias(f) for f in _TAG_FIELDS + _CATEGORY_FIELDS],
-    )
+    non_food = constant(_state_literal({}, "non-food"), _STATE_DDL)
     state = F.when(category == NON_FOOD, non_food)
     if overrides:
         state = state.when(
@@ -435,7 +441,7 @@ def normalize_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
     state = df.select(*[F.col(S.quoted(c)) for c in kept], F.inline(F.array(row_state(rules))))
     state = state.withColumns(
         {
-            title: F.coalesce(F.col(f), F.col(S.quoted(title)))
+            title: F.coalesce(F.col(f"cats.{f}"), F.col(S.quoted(title)))
             for f, title in zip(_CATEGORY_FIELDS, S.CATEGORY_LABELS)
         }
     )
@@ -450,7 +456,7 @@ def normalize_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
     values = F.array(
         F.col("bt"),
         *[F.get(F.col("st"), F.lit(i)) for i in range(len(S.SUB_TYPE_COLUMNS))],
-        *[F.col(f) for f in _TAG_FIELDS],
+        *[F.col(f"tags.{f}") for f in _TAG_FIELDS],
     )
     row = F.struct(
         F.when(folded, without_repeats(values)).otherwise(values).alias("values"),

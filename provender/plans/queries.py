@@ -115,9 +115,9 @@ def q_type_map_first(spark, sf):
         "Unique Id",
         F.col("bt").alias(S.BASIC_TYPE),
         F.array_join("st", "|").alias(S.SUB_TYPES),
-        F.col("c1").alias("Shape"),
-        F.col("c4").alias("Processing"),
-        F.col("c9").alias("Dietary Accommodation"),
+        F.col("tags.c1").alias("Shape"),
+        F.col("tags.c4").alias("Processing"),
+        F.col("tags.c9").alias("Dietary Accommodation"),
     )
 
 
