@@ -49,7 +49,8 @@ CASES = [
     (("Produce", "Vegetables", None, "x", "herb, watercress, cut"), "watercress, cut"),
     ((*CONDIMENTS, None, "x", "snack, walnut, swiss"), "snack, nut, cheese"),
     ((*CONDIMENTS, None, "x", "condiment, pickle, chip"), "condiment, pickle, cut"),
-    (("Beverages", "Beverages", None, "x", "juice, powder, base"), "juice, flavored, concentrate"),
+    # powder is a concentrate (Shape) and base a mix (Flavor/Cut) in beverages
+    (("Beverages", "Beverages", None, "x", "juice, powder, base"), "juice, mix, concentrate"),
     ((*GRAIN, None, "x", "appetizer, popper"), "appetizer, cheese, breaded"),
     (("Produce", "Vegetables", None, "x", "salad, fried onion"), "salad, onion, fried"),
     ((*CONDIMENTS, None, "x", "honeydew, gusher"), "fruit snack, honeydew"),
@@ -58,11 +59,6 @@ CASES = [
     (("Meat", "Beef", None, "x", "beef, steak, brisket"), "beef, brisket, steak"),
     (("Produce", "Fruit", None, "x", "\xa0Apple\t,  CUT\xa0"), "apple, cut"),
 ]
-# "juice, powder, base": powder -> concentrate (column), base -> mix (column of beverages).
-CASES = [
-    (row, "juice, mix, concentrate") if row[4] == "juice, powder, base" else (row, want)
-    for row, want in CASES
-]
 
 
 @pytest.fixture(scope="module")
