@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from provender.llm import chat, decontaminate, mixing, token_counts, topk
+from provender.llm import chat, decontaminate, html_extract, lm_score, mixing, quality, simhash, token_counts, topk, url_filter
 from provender.llm.common import table
 
 
@@ -14,6 +14,22 @@ def op1_token_counts(spark, sf_dir):
     )
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scoring(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,12 +48,21 @@ def op9_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts,
+    op2_html_extraction,
+    op3_simhash,
+    op4_lm_scoring,
+    op5_url_filter,
     op6_mixing,
     op7_chat_formatting,
     op8_decontamination,
     op9_top_k,
+    op10_quality,
 )}
 
 ORACLES = {
