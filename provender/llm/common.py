@@ -40,5 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that go to Python at once where texts do.
+TEXTS_AT_ONCE = 1000
+
+
+def long_texts(spark: SparkSession) -> None:
+    """Let rows go to Python in batches of ``TEXTS_AT_ONCE`` at most, from now on in this session.
+
+    Spark's own setting is for narrow rows; as many whole texts take hundreds of MB in the JVM, in
+    transfer and in each worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXTS_AT_ONCE:
+        spark.conf.set(name, str(TEXTS_AT_ONCE))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.common import cut, text_of
+from provender.llm.common import cut, long_texts, text_of
 
 #: Words of items in one automaton; more items go into further automata and passes. An automaton
 #: of this size takes at most some hundred MB in a worker.
@@ -202,6 +202,7 @@ def contamination(
     have no words; items without words are ignored; items that repeat count once by id. Empty
     tables give empty results or no hits. A document of any length is one stream.
     """
+    long_texts(df.sparkSession)
     names = [c for c in df.columns if c not in ("_n_words", "_spans", "_items")]
     done = df.select(*names)
     pieces = item_pieces(items, item_col, item_text_col, window, WORDS_AT_ONCE)

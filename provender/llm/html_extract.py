@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.common import cut, text_of
+from provender.llm.common import cut, long_texts, text_of
 
 #: A class needs this many pages, this share of its host's pages, and this many tokens.
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 10, 0.95, 2
@@ -291,6 +291,7 @@ def extract(
     are not looked at; an empty table gives no rows. Whole pages are read, twice; they are
     exchanged only if the templates' texts are too many to broadcast.
     """
+    long_texts(df.sparkSession)
     pages = df.select(
         F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("host"),
         text_of(html_col).alias("html"),

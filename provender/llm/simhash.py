@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.common import cut, partitions, text_of
+from provender.llm.common import cut, long_texts, partitions, text_of
 from provender.llm.components import components
 
 #: Fingerprints of a bucket up to which all are compared.
@@ -220,6 +220,7 @@ def near_duplicates(
     Other columns are not looked at. Texts are read once; what is exchanged is ids, fingerprints
     and 64 variants of each different fingerprint.
     """
+    long_texts(df.sparkSession)
     hashed = cut(df.select(F.col(id_col).alias("_id"), fingerprint_column(text_of(text_col), size).alias("fp")))
     named = components_of(hashed, F.min("_id"))
     return hashed.join(named, "fp").select(
@@ -242,6 +243,7 @@ def components_of(hashed: DataFrame, least: Column) -> DataFrame:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """The rows of ``df`` with one of each component: that with the smallest id (null last), then
     the smallest hash of its text. Rows equal in both are exact repetitions; one stays."""
+    long_texts(df.sparkSession)
     keyed = df.withColumn("_text", F.xxhash64(text_of(text_col)))
     hashed = cut(
         keyed.select(F.col(id_col).alias("_id"), "_text", fingerprint_column(text_of(text_col), size).alias("fp"))

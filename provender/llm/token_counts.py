@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.common import text_of
+from provender.llm.common import long_texts, text_of
 
 # Fixed value: the pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,6 +138,7 @@ def count_texts(texts: Iterable[str], vocabulary: dict) -> list[int]:
 
 def token_count(df: DataFrame, text: Column, path: str) -> Column:
     """A column with the number of tokens of ``text``."""
+    long_texts(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     @F.pandas_udf("long")
