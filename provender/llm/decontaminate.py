@@ -243,7 +243,8 @@ def scanner(shared: Broadcast, window: int):
                 rows.append((len(words), [{"begin": a, "end": b} for a, b in union(spans)], owners))
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return scanned
+    # Else a filter on the result would be pushed down and have each text scanned again.
+    return scanned.asNondeterministic()
 
 
 def _joined_spans(first: str, second: str) -> Column:

@@ -160,32 +160,25 @@ def links(prints: DataFrame) -> DataFrame:
     """
     count = partitions(prints.sparkSession)
 
-    def compared(rows: DataFrame, limit: int | None) -> DataFrame:
+    def compared(rows: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+        """Links among the rows of each (key, sub), and the rows of those that are too many."""
         dealt = rows.repartition(count, "key", "sub").sortWithinPartitions("key", "sub")
-        return cut(dealt.mapInArrow(_linker(limit), "a long, b long, c long, finer boolean"))
+        found = cut(dealt.mapInArrow(_linker(limit), "a long, b long, c long, finer boolean"))
+        many = found.where("finer").selectExpr("a AS key", "b AS sub", "c AS fp").distinct()
+        return found.where("not finer").select("a", "b"), many
 
     first = prints.select(
         F.explode(variants(F.col("fp"), 32, [0, 32])).alias("key"), F.lit(0).cast("long").alias("sub"), "fp"
     )
-    found = compared(first, TOGETHER)
-    result = found.where("not finer").select("a", "b")
-    coarse = found.where("finer").select(F.col("a").alias("key"), F.col("b").alias("sub"), F.col("c").alias("fp")).distinct()
-    for width in (16, 8):
-        if coarse.isEmpty():
+    result, many = compared(first, TOGETHER)
+    for width, limit in ((16, TOGETHER), (8, None)):
+        if many.isEmpty():
             break
-        rest = _free_part(width)
-        finer = coarse.select(
-            "key",
-            F.explode(
-                F.transform(
-                    variants(rest, width, [0, width]), lambda v: F.col("sub") * F.lit(1 << 24) + v
-                )
-            ).alias("sub"),
-            "fp",
+        finer = F.transform(
+            variants(_free_part(width), width, [0, width]), lambda v: F.col("sub") * F.lit(1 << 24) + v
         )
-        found = compared(finer, TOGETHER if width == 16 else None)
-        result = result.union(found.where("not finer").select("a", "b"))
-        coarse = found.where("finer").select(F.col("a").alias("key"), F.col("b").alias("sub"), F.col("c").alias("fp")).distinct()
+        found, many = compared(many.select("key", F.explode(finer).alias("sub"), "fp"), limit)
+        result = result.union(found)
     return result
 
 
