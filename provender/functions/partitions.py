@@ -10,7 +10,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     Normalization costs far more than reading, and a small file is one partition. On inputs with
     enough partitions, which is every large one, this changes nothing. Call it on a plain scan:
-    the partitions of a joined table are only known once it has run.
+    the partitions of a joined table are only known once it has run. Streams stay as they are.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import sys
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provender import schema as S
+from provender.errors import DataError
+from provender.functions.partitions import spread
 from provender.operators import classify, clean, dataset, decode, report
 from provender.operators.normalize import normalize
 from provender.rules.ruleset import RuleSet
@@ -19,6 +22,8 @@ from provender.sources import readers, writers
 
 logger = logging.getLogger("provender")
 
+STARTER_PACK = "starter"
+
 
 @dataclass(frozen=True)
 class CleaningOptions:
@@ -29,6 +34,7 @@ class CleaningOptions:
     misc_file: str = writers.MISC_FILE
     rule_pack: str | None = None
     tag_scoping: str = "cumulative"
+    line_breaks: bool = True
     smoke_test: bool = False
     write_output: bool = True
     run_folder: str | None = None
@@ -42,9 +48,13 @@ class CleaningOptions:
 
 
 def rules_of(spark: SparkSession, rule_pack: str | None, tag_scoping: str) -> RuleSet:
-    if rule_pack:
-        return RuleSet.from_directory(spark, rule_pack, tag_scoping)
-    return RuleSet.starter(tag_scoping)
+    """The rules of a job. The open word lists of the starter pack are a selection, so it has to
+    be asked for by name: a job without a pack would give incomplete results unnoticed."""
+    if not rule_pack:
+        raise DataError(f"a rule pack is needed: a directory, or {STARTER_PACK!r} for the selection")
+    if rule_pack == STARTER_PACK:
+        return RuleSet.starter(tag_scoping)
+    return RuleSet.from_directory(spark, rule_pack, tag_scoping)
 
 
 def clean_and_normalize(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -59,7 +69,11 @@ def run_cleaning(spark: SparkSession, options: CleaningOptions) -> dict[str, str
     """
     rules = rules_of(spark, options.rule_pack, options.tag_scoping)
     raw = readers.read_purchases(
-        spark, options.raw_data, options.input_file, smoke_test=options.smoke_test
+        spark,
+        options.raw_data,
+        options.input_file,
+        smoke_test=options.smoke_test,
+        line_breaks=options.line_breaks,
     )
     normalized = clean_and_normalize(raw, rules).persist(StorageLevel.MEMORY_AND_DISK)
     folder, write = options.run_path(), options.write_output
@@ -106,7 +120,9 @@ class TrainingTables:
     masks: DataFrame
 
     def decoder(self, rules: RuleSet) -> decode.Decoder:
-        return decode.Decoder.from_tables(self.index, self.counts, self.masks, rules.all_tags)
+        return decode.Decoder.from_tables(
+            self.index, self.counts, self.masks, rules.all_tags, rules.hierarchy
+        )
 
 
 def prepare_training(
@@ -128,7 +144,7 @@ def prepare_training(
         rows.unpersist()
         return kept
 
-    train, evaluation = load(train_files, "train"), load(eval_files, "eval")
+    train, evaluation = load(train_files, "train"), load(eval_files, "evaluation")
     combined = train.unionByName(evaluation)
     counts = dataset.class_counts(combined).persist()
     index = dataset.label_index(counts).persist()
@@ -170,10 +186,15 @@ def classify_table(
     threshold: float = decode.DEFAULT_THRESHOLD,
     assertion: bool = False,
 ) -> DataFrame:
-    """Predict every output column for a table whose columns may be named loosely."""
+    """Predict every output column for a table whose columns may be named loosely.
+
+    ``num_rows`` takes the first rows: by their place in the files, or by all columns in a table
+    without ``row_id``.
+    """
     df = decode.canonical_names(df)
     if num_rows:
-        df = df.limit(num_rows)
+        order = [S.ROW_ID] if S.ROW_ID in df.columns else df.columns
+        df = spread(readers.first_rows(df, num_rows, order))
     if input_column != classifier.text_column:
         df = df.withColumn(classifier.text_column, F.col(S.quoted(input_column)))
     scored = classifier.score(df)
@@ -183,15 +204,76 @@ def classify_table(
     return decode.prediction_output(decoded)
 
 
+def save_model(spark: SparkSession, path: str, classifier, decoder: decode.Decoder) -> None:
+    """A classifier and its decoder below one directory."""
+    classifier.save(f"{path}/classifier")
+    decoder.save(spark, f"{path}/decoder")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[classify.TextClassifier, decode.Decoder]:
+    """What :func:`save_model` wrote."""
+    return (
+        classify.TextClassifier.load(spark, f"{path}/classifier"),
+        decode.Decoder.load(spark, f"{path}/decoder"),
+    )
+
+
+def run_training(
+    spark: SparkSession,
+    data_dir: str,
+    train_files,
+    eval_files,
+    model_folder: str,
+    rules: RuleSet,
+    *,
+    metric: str = "basic_type_accuracy",
+    estimators=("naive_bayes",),
+    smoke_test: bool = False,
+) -> DataFrame:
+    """Prepare, fit, choose and save. Returns the metrics of all candidates."""
+    tables = prepare_training(spark, data_dir, train_files, eval_files, smoke_test=smoke_test)
+    best, decoder, metrics = train_classifier(
+        tables, rules, metric=metric, estimators=tuple(estimators)
+    )
+    save_model(spark, model_folder, best, decoder)
+    return metrics
+
+
+def run_classification(
+    spark: SparkSession,
+    data_dir: str,
+    input_file: str,
+    model_folder: str,
+    output_folder: str,
+    *,
+    num_rows: int | None = None,
+    threshold: float = decode.DEFAULT_THRESHOLD,
+    assertion: bool = False,
+    line_breaks: bool = True,
+) -> str:
+    """Read a file, predict all columns, write ``<stem>_classified``. Returns the written path."""
+    path = readers.file_paths(data_dir, input_file)[0]
+    df = readers.read_table(spark, path, numbered=num_rows is not None, line_breaks=line_breaks)
+    classifier, decoder = load_model(spark, model_folder)
+    done = classify_table(
+        df, classifier, decoder, num_rows=num_rows, threshold=threshold, assertion=assertion
+    )
+    return writers.write_classified(done, path, output_folder)
+
+
 def create_parser() -> argparse.ArgumentParser:
+    """The options of the cleaning job."""
     parser = argparse.ArgumentParser(prog="provender", description="Clean purchase files.")
     parser.add_argument("--input_file", required=True)
     parser.add_argument("--raw_data", required=True, help="folder of the input file")
     parser.add_argument("--clean_folder", required=True, help="folder of the run folders")
     parser.add_argument("--clean_file", default=None)
     parser.add_argument("--misc_file", default=writers.MISC_FILE)
-    parser.add_argument("--rule_pack", default=None, help="directory of rule tables")
+    parser.add_argument(
+        "--rule_pack", required=True, help=f"directory of rule tables, or {STARTER_PACK!r}"
+    )
     parser.add_argument("--tag_scoping", default="cumulative")
+    _add_line_breaks(parser)
     parser.add_argument("--smoke_test", action="store_true")
     parser.add_argument(
         "--disable-output", action="store_false", dest="write_output", default=True
@@ -199,7 +281,62 @@ def create_parser() -> argparse.ArgumentParser:
     return parser
 
 
-def main(argv=None) -> dict[str, str]:
-    options = CleaningOptions(**vars(create_parser().parse_args(argv)))
+def _add_line_breaks(parser: argparse.ArgumentParser) -> None:
+    parser.add_argument(
+        "--no_line_breaks",
+        action="store_false",
+        dest="line_breaks",
+        help="no CSV field holds a line break, so large files may be split",
+    )
+
+
+def fill_parser() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="provender fill", description="Add product groups.")
+    for name in ("--input_file", "--raw_data", "--output_folder"):
+        parser.add_argument(name, required=True)
+    return parser
+
+
+def train_parser() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="provender train", description="Fit a classifier.")
+    parser.add_argument("--data_dir", required=True)
+    parser.add_argument("--train_files", required=True, nargs="+")
+    parser.add_argument("--eval_files", required=True, nargs="+")
+    parser.add_argument("--model_folder", required=True)
+    parser.add_argument("--rule_pack", required=True)
+    parser.add_argument("--metric", choices=classify.CHOICE_METRICS, default=classify.CHOICE_METRICS[0])
+    parser.add_argument("--estimators", nargs="+", choices=classify.ESTIMATORS, default=["naive_bayes"])
+    parser.add_argument("--smoke_test", action="store_true")
+    return parser
+
+
+def classify_parser() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="provender classify", description="Classify a file.")
+    for name in ("--data_dir", "--input_file", "--model_folder", "--output_folder"):
+        parser.add_argument(name, required=True)
+    parser.add_argument("--num_rows", type=int, default=None)
+    parser.add_argument("--threshold", type=float, default=decode.DEFAULT_THRESHOLD)
+    parser.add_argument("--assertion", action="store_true")
+    _add_line_breaks(parser)
+    return parser
+
+
+def main(argv=None):
+    """``[clean] ...``, ``fill ...``, ``train ...`` or ``classify ...``."""
+    argv = list(sys.argv[1:] if argv is None else argv)
+    job = argv.pop(0) if argv and not argv[0].startswith("-") else "clean"
+    parsers = {
+        "clean": create_parser, "fill": fill_parser, "train": train_parser, "classify": classify_parser
+    }
+    if job not in parsers:
+        raise DataError(f"unknown job {job!r}; one of {', '.join(parsers)}")
+    options = vars(parsers[job]().parse_args(argv))
     spark = SparkSession.builder.appName("provender").getOrCreate()
-    return run_cleaning(spark, options)
+    if job == "clean":
+        return run_cleaning(spark, CleaningOptions(**options))
+    if job == "fill":
+        return run_group_fill(spark, **options)
+    if job == "classify":
+        return run_classification(spark, **options)
+    rules = rules_of(spark, options.pop("rule_pack"), "cumulative")
+    return run_training(spark, rules=rules, **options)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from provender import schema as S
 from provender.errors import DataError
+from provender.functions.partitions import spread
 
 logger = logging.getLogger("provender")
 
@@ -52,13 +53,18 @@ def missing_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     )
 
 
-def number_rows(df: DataFrame) -> DataFrame:
-    """Add ``row_id``, which grows with the row's place in the files.
+def place_in_files() -> Column:
+    """The place of a scanned row: file path, start of the block in the file, row in the block.
 
-    The ids depend on how the files are split into partitions, so they order rows within one
-    read; tables with a key of their own should be ordered by that.
+    Structs compare field by field, so places are in the order of the files whatever partitions
+    Spark packs them into. The last field grows within a block, as one task reads it from its start.
+    Only a scan itself knows it, so it has to be selected right above one.
     """
-    return df.withColumn(S.ROW_ID, F.monotonically_increasing_id())
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def prefer_normalized_product_type(df: DataFrame) -> DataFrame:
@@ -71,15 +77,22 @@ def prefer_normalized_product_type(df: DataFrame) -> DataFrame:
     return df.withColumn(S.PRODUCT_TYPE, value)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV or Parquet table, every column a string, missing text as null."""
+def read_table(
+    spark: SparkSession, path: str, *, numbered: bool = False, line_breaks: bool = True
+) -> DataFrame:
+    """A CSV or Parquet table, every column a string, missing text as null.
+
+    ``numbered`` adds ``row_id``, the row's place in the files. ``line_breaks`` says that CSV fields
+    may hold line breaks; then a file can only be read by one task, from which its rows are spread
+    over the cluster. Without them large files are split when they are read.
+    """
     if not path_exists(spark, path):
         raise DataError(f"could not find input file {path}")
     if format_of(path) == "csv":
         df = (
             spark.read.option("header", True)
             .option("inferSchema", False)
-            .option("multiLine", True)
+            .option("multiLine", line_breaks)
             .option("quote", '"')
             .option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
@@ -94,18 +107,25 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
             if isinstance(f.dataType, T.StringType)
             else F.col(S.quoted(f.name)).cast("string").alias(f.name)
             for f in df.schema.fields
-        ]
+        ],
+        *([place_in_files().alias(S.ROW_ID)] if numbered else []),
     )
-    return missing_to_null(strings)
+    return spread(missing_to_null(strings, df.columns))
 
 
 def read_purchases(
-    spark: SparkSession, raw_data: str, input_file: str, *, smoke_test: bool = False
+    spark: SparkSession,
+    raw_data: str,
+    input_file: str,
+    *,
+    smoke_test: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """The raw purchase table of a job, numbered, with the product type override applied."""
-    df = read_table(spark, file_paths(raw_data, input_file)[0])
-    df = number_rows(prefer_normalized_product_type(df))
-    return first_rows(df, SMOKE_TEST_ROWS) if smoke_test else df
+    path = file_paths(raw_data, input_file)[0]
+    df = read_table(spark, path, numbered=True, line_breaks=line_breaks)
+    df = prefer_normalized_product_type(df)
+    return spread(first_rows(df, SMOKE_TEST_ROWS)) if smoke_test else df
 
 
 def first_rows(df: DataFrame, n: int, order: Iterable[str] = (S.ROW_ID,)) -> DataFrame:
@@ -154,12 +174,14 @@ def read_training(
     *,
     smoke_test: bool = False,
     log_dropped: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Cleaned files, one after the other, ready for the training preparation."""
     labels = list(labels)
     parts = []
     for number, path in enumerate(paths):
-        df = number_rows(read_table(spark, path)).withColumn("file_no", F.lit(number))
+        df = read_table(spark, path, numbered=True, line_breaks=line_breaks)
+        df = df.withColumn("file_no", F.lit(number))
         if smoke_test:
             df = first_rows(df, SMOKE_TEST_ROWS)
         if log_dropped:

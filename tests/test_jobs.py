@@ -7,6 +7,7 @@ import pytest
 
 from provender import schema as S
 from provender.errors import DataError
+from provender.operators import dataset
 from provender.plans import jobs
 from provender.sources import readers, writers
 from provender.streaming.normalize_stream import normalize_stream, read_purchase_stream
@@ -40,7 +41,9 @@ def _read(path):
 
 
 def test_cleaning_job(spark, raw, tmp_path):
-    options = jobs.CleaningOptions("my file.csv", raw, str(tmp_path / "clean"), run_folder="run")
+    options = jobs.CleaningOptions(
+        "my file.csv", raw, str(tmp_path / "clean"), rule_pack="starter", run_folder="run"
+    )
     paths = jobs.run_cleaning(spark, options)
     assert paths["normalized"].endswith("/clean/run/clean_my_file.csv")
     table = _read(paths["normalized"])
@@ -72,12 +75,22 @@ def test_cleaning_job(spark, raw, tmp_path):
 
 def test_disabled_output_writes_nothing(spark, raw, tmp_path):
     options = jobs.CleaningOptions(
-        "my file.csv", raw, str(tmp_path / "clean"), run_folder="run", write_output=False
+        "my file.csv",
+        raw,
+        str(tmp_path / "clean"),
+        rule_pack="starter",
+        run_folder="run",
+        write_output=False,
     )
     jobs.run_cleaning(spark, options)
     assert not (tmp_path / "clean").exists()
 
 
+def test_a_job_without_a_rule_pack_is_refused(spark, raw, tmp_path):
+    with pytest.raises(DataError, match="rule pack"):
+        jobs.run_cleaning(spark, jobs.CleaningOptions("my file.csv", raw, str(tmp_path)))
+
+
 def test_missing_input(spark, tmp_path):
     with pytest.raises(DataError):
         readers.read_purchases(spark, str(tmp_path), "nothing.csv")
@@ -97,6 +110,7 @@ def test_output_names():
 def test_options_parser():
     options = jobs.create_parser().parse_args(
         ["--input_file", "a.csv", "--raw_data", "r", "--clean_folder", "c", "--disable-output"]
+        + ["--rule_pack", "starter"]
     )
     assert options.write_output is False and options.misc_file == "misc.csv"
 
@@ -107,6 +121,23 @@ def test_smoke_rows(spark):
     assert got == list(range(1000))
 
 
+def test_row_order_over_files_and_spreading(spark, tmp_path):
+    """The first file is the smallest, which Spark reads last; one file feeds all cores."""
+    folder = tmp_path / "in.csv"
+    folder.mkdir()
+    for name, first, n in (("part-0.csv", 0, 3), ("part-1.csv", 3, 4000)):
+        with open(folder / name, "w", newline="") as f:
+            rows = [[f"t{i % 2000 if i >= 3 else i}", str(i)] for i in range(first, first + n)]
+            csv.writer(f).writerows([[S.PRODUCT_TYPE, "n"], *rows])
+    for line_breaks in (True, False):
+        df = readers.read_table(spark, str(folder), numbered=True, line_breaks=line_breaks)
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        first = readers.first_rows(df, 1000).select("n").collect()
+        assert sorted(int(r["n"]) for r in first) == list(range(1000))
+        kept = {r[S.PRODUCT_TYPE]: int(r["n"]) for r in dataset.keep_first(df).collect()}
+        assert kept["t0"] == 0 and kept["t2"] == 2 and kept["t3"] == 3 and kept["t1999"] == 1999
+
+
 def test_group_fill_job(spark, raw, tmp_path):
     path = jobs.run_group_fill(spark, raw, "my file.csv", str(tmp_path / "out"))
     rows = {r["Unique Id"]: r for r in _read(path)}
@@ -153,6 +184,16 @@ def test_training_and_classification_jobs(spark, tmp_path, rules):
     assert (out["7"][S.FPG], out["7"][S.BASIC_TYPE]) == ("Produce", "apple")
     assert out["7"]["Sub-Type 1"] == "gala" and out["8"][S.FPC] == "Beef"
     assert out["8"]["Sub-Type 1"] is None and out["8"]["Packaging"] is None
+    folder = str(tmp_path / "model")
+    jobs.save_model(spark, folder, model, decoder)
+    loaded = jobs.load_model(spark.newSession(), folder)
+    again = jobs.classify_table(requests, *loaded, assertion=True)
+    assert {r["Product Identifier"]: r for r in again.collect()} == out
+    requests.coalesce(1).write.option("header", True).csv(str(tmp_path / "requests.csv"))
+    path = jobs.run_classification(
+        spark, str(tmp_path), "requests.csv", folder, str(tmp_path), num_rows=1, assertion=True
+    )
+    assert [r[S.FPG] for r in _read(path)] == ["Produce"]
     path = writers.write_classified(
         jobs.classify_table(requests, model, decoder, num_rows=1), "in/req.csv", str(tmp_path)
     )
