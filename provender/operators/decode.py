@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.errors import RuleError
-from provender.functions.expressions import constant, is_any, let, lookup, strip
+from provender.functions.expressions import (
+    broadcast_if_small,
+    constant,
+    is_any,
+    let,
+    lookup,
+    strip,
+)
+from provender.functions.saved import read_json, write_json
 from provender.operators.normalize import NON_FOOD
 from provender.rules.fixed_values import HIERARCHY
-from provender.rules.ruleset import MAX_TABLE_ROWS
 
 TOP_SUB_TYPES = 2
+#: Rows of a label table in a decoder, which is a literal of the plan searched by hash.
+MAX_DECODER_ROWS = 200_000
 DEFAULT_THRESHOLD = 0.5
 
 
@@ -27,10 +36,16 @@ class Decoder:
     sub_type_counts: dict[str, dict[str, int]]
     masks: dict[str, list[str]]
     tags: tuple[str, ...] = ()
+    hierarchy: dict[str, list[str]] = field(default_factory=lambda: dict(HIERARCHY))
 
     @classmethod
     def from_tables(
-        cls, index: DataFrame, counts: DataFrame, masks: DataFrame, tags: Iterable[str] = ()
+        cls,
+        index: DataFrame,
+        counts: DataFrame,
+        masks: DataFrame,
+        tags: Iterable[str] = (),
+        hierarchy: dict[str, list[str]] | None = None,
     ) -> "Decoder":
         """Read the label tables of the training preparation, refusing oversized ones."""
         labels: dict[str, list] = {head: [] for head in S.HEADS}
@@ -42,7 +57,19 @@ class Decoder:
         valid: dict[str, list[str]] = {}
         for group, basic_type in _bounded(masks, "masks"):
             valid.setdefault(group, []).append(basic_type)
-        return cls(labels, sub_counts, valid, tuple(tags))
+        return cls(labels, sub_counts, valid, tuple(tags), dict(hierarchy or HIERARCHY))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the decoder beside the model that it belongs to."""
+        value = {"labels": self.labels, "sub_type_counts": self.sub_type_counts, "tags": list(self.tags)}
+        pairs = {"masks": list(self.masks.items()), "hierarchy": list(self.hierarchy.items())}
+        write_json(spark, path, {**value, **pairs})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Decoder":
+        value = read_json(spark, path)
+        masks, hierarchy = (dict(map(tuple, value[k])) for k in ("masks", "hierarchy"))
+        return cls(value["labels"], value["sub_type_counts"], masks, tuple(value["tags"]), hierarchy)
 
     def mask(self, group: str) -> list[int]:
         valid = set(self.masks[group])
@@ -50,9 +77,9 @@ class Decoder:
 
 
 def _bounded(table: DataFrame, what: str) -> list:
-    rows = table.limit(MAX_TABLE_ROWS + 1).collect()
-    if len(rows) > MAX_TABLE_ROWS:
-        raise RuleError(f"the {what} table has more than {MAX_TABLE_ROWS} rows")
+    rows = table.limit(MAX_DECODER_ROWS + 1).collect()
+    if len(rows) > MAX_DECODER_ROWS:
+        raise RuleError(f"the {what} table has more than {MAX_DECODER_ROWS} rows")
     return rows
 
 
@@ -89,7 +116,40 @@ def masked(scores: Column, group: Column, decoder: Decoder) -> Column:
     )
 
 
-def inconsistent(group: Column, category: Column, primary: Column) -> Column:
+def best_valid_labels(
+    scores: DataFrame, index: DataFrame, masks: DataFrame, id_column: str
+) -> DataFrame:
+    """(id, group, label, score): the best basic type that goes with a group, by joins.
+
+    The join form of :func:`masked` and :func:`argmax`, for label tables of any size. ``scores``
+    has id, ``group``, ``index`` and ``score``, a row for each basic type with its probability;
+    ``index`` and ``masks`` are the tables of the training preparation. An unseen group masks
+    nothing, and ties go to the first index.
+    """
+    names = index.filter(F.col("column") == S.BASIC_TYPE).select("label", "index").persist()
+    pairs = masks.select(
+        F.col(S.quoted(S.FPG)).alias("group"), F.col(S.quoted(S.BASIC_TYPE)).alias("label")
+    )
+    valid = pairs.join(names, "label").select("group", "index", F.lit(True).alias("_valid")).persist()
+    seen = pairs.select("group", F.lit(True).alias("_seen")).distinct().persist()
+    kept = (
+        scores.join(broadcast_if_small(valid), ["group", "index"], "left")
+        .join(broadcast_if_small(seen), "group", "left")
+        .withColumn("score", F.when(F.isnull("_seen") | F.isnotnull("_valid"), F.col("score")).otherwise(0.0))
+    )
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "index", "group")).alias("_best")
+    return (
+        kept.groupBy(id_column)
+        .agg(best)
+        .select(id_column, "_best.group", "_best.index", (-F.col("_best.minus")).alias("score"))
+        .join(broadcast_if_small(names), "index")
+        .select(id_column, "group", "label", "score")
+    )
+
+
+def inconsistent(
+    group: Column, category: Column, primary: Column, hierarchy: dict = HIERARCHY
+) -> Column:
     """Whether predicted categories contradict each other.
 
     The category has to belong to the group; outside meals the primary category has to be the
@@ -97,7 +157,7 @@ def inconsistent(group: Column, category: Column, primary: Column) -> Column:
     """
     # A category may be listed under two groups, so membership is tested per group.
     def belongs(value: Column) -> Column:
-        members = lookup(group, HIERARCHY, "array<string>")
+        members = lookup(group, hierarchy, "array<string>")
         return F.coalesce(F.array_contains(members, value), F.lit(False))
 
     not_meals = ~is_any(group, ["Meals"])
@@ -198,7 +258,9 @@ def decode(
         name = f"_p {S.BASIC_TYPE}"
         work = work.withColumn(name, masked(F.col(S.quoted(name)), group, decoder))
     non_food = is_any(group, [NON_FOOD]) | is_any(category, [NON_FOOD])
-    failed = inconsistent(group, category, primary) if assertion else F.lit(False)
+    failed = F.lit(False)
+    if assertion:
+        failed = inconsistent(group, category, primary, decoder.hierarchy)
     work = work.withColumns({"_non_food": non_food, "_failed": failed})
     void = F.col("_non_food") | F.col("_failed")
 

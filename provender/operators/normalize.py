@@ -307,11 +307,12 @@ def fold_name(name: Column, group: Column, category: Column, primary: Column, ru
 
 def row_state(rules: RuleSet) -> Column:
     """The state of each row, by its route: non-food, product-type override, or fold."""
-    # Expressions live in the JVM they were built in.
-    jvm = id(SparkContext._gateway)
-    if jvm not in rules.compiled:
-        rules.compiled[jvm] = _row_state(rules)
-    return rules.compiled[jvm]
+    # Expressions live in the JVM they were built in, which an application has for itself.
+    application = SparkContext.getOrCreate().applicationId
+    if application not in rules.compiled:
+        rules.compiled.clear()
+        rules.compiled[application] = _row_state(rules)
+    return rules.compiled[application]
 
 
 def _row_state(rules: RuleSet) -> Column:

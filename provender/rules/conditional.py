@@ -2,12 +2,14 @@
 
 A rule is a row: one or more conditions (any may hold), and what happens when it is the first rule
 that holds. Conditions read the token and the row as the fold has left it so far; the compiler in
-``operators.normalize`` turns each table into one ``CASE WHEN`` expression.
+``operators.normalize`` turns each table into a literal that is looked up by token.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+
+from provender.errors import RuleError
 
 
 def _words(value) -> tuple[str, ...]:
@@ -59,6 +61,23 @@ class Rule:
             object.__setattr__(self, "when", (self.when,))
 
 
+def rule_to_dict(rule: Rule) -> dict:
+    """A rule as plain values, without the fields that are empty."""
+    value = {k: v for k, v in asdict(rule).items() if v}
+    value["when"] = [{k: list(v) for k, v in when.items() if v} for when in value["when"]]
+    return value
+
+
+def rule_from_dict(value: dict) -> Rule:
+    """What :func:`rule_to_dict` gave; unknown fields are an error."""
+    try:
+        given = {**value, "add": tuple(value.get("add", ()))}
+        return Rule(**{**given, "when": tuple(When(**when) for when in value["when"])})
+    except (TypeError, KeyError) as error:
+        raise RuleError(f"rule {value.get('name')!r}: {error}") from error
+
+
+# The words and effects of the rules below.
 # Rules on every token after the first, before it is placed.
 TOKEN_RULES: tuple[Rule, ...] = (
     Rule(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -103,9 +104,11 @@ class RuleSet:
         tag_scopes: Mapping[str, Mapping[str, Iterable[str]]] | None = None,
         token_rules: Iterable[Rule] | None = None,
         subtype_rules: Iterable[Rule] | None = None,
+        hierarchy: Mapping[str, Iterable[str]] | None = None,
         tag_scoping: str = "cumulative",
     ) -> "RuleSet":
         """A pack from Python values; every table left out is the starter's."""
+        hierarchy = V.HIERARCHY if hierarchy is None else hierarchy
         lists = {"flavors": V.FLAVORS, **V.VOCABULARIES, **(vocabularies or {})}
         skipped = tuple(V.SKIPPED if skipped is None else skipped)
         lists["skipped"] = skipped
@@ -116,8 +119,8 @@ class RuleSet:
             vocabularies={name: tuple(words) for name, words in lists.items()},
             type_map=dict(V.TYPE_MAP if type_map is None else type_map),
             overrides=dict(V.PRODUCT_TYPE_OVERRIDES if overrides is None else overrides),
-            hierarchy={g: list(c) for g, c in V.HIERARCHY.items()},
-            gates=tag_gates(scopes=tag_scopes or V.TAG_SCOPES, scoping=tag_scoping),
+            hierarchy={g: list(c) for g, c in hierarchy.items()},
+            gates=tag_gates(hierarchy, scopes=tag_scopes or V.TAG_SCOPES, scoping=tag_scoping),
             token_rules=tuple(
                 conditional.TOKEN_RULES if token_rules is None else token_rules
             ),
@@ -141,8 +144,10 @@ class RuleSet:
 
         ``corrections(raw, clean)``, ``skipped(token)``, ``vocabularies(list, token)``,
         ``types(type, column, value)``, ``overrides(product_type, column, value)``,
-        ``tag_scopes(scope, column, tag)``. Several rows with column ``Sub-Types`` list the
-        sub-types in order. A table that is not there is the starter's.
+        ``tag_scopes(scope, column, tag)``, ``hierarchy(group, category)``. Several rows with column
+        ``Sub-Types`` list the sub-types in order. The conditional rules are lines of JSON in
+        ``token_rules.json`` and ``subtype_rules.json``, a rule a line, in order. A table that is
+        not there is the starter's; :meth:`to_directory` writes them all.
         """
         tables = {
             name: _rule_table(spark, path, name, columns)
@@ -153,6 +158,7 @@ class RuleSet:
                 "types": ["type", "column", "value"],
                 "overrides": ["product_type", "column", "value"],
                 "tag_scopes": ["scope", "column", "tag"],
+                "hierarchy": ["group", "category"],
             }.items()
         }
         given: dict = {"tag_scoping": tag_scoping}
@@ -173,8 +179,48 @@ class RuleSet:
             for scope, column, tag in tables["tag_scopes"]:
                 scopes.setdefault(scope, {}).setdefault(column, []).append(tag)
             given["tag_scopes"] = scopes
+        if tables["hierarchy"] is not None:
+            groups: dict[str, list[str]] = {}
+            for group, category in tables["hierarchy"]:
+                groups.setdefault(group, []).append(category)
+            given["hierarchy"] = groups
+        for name in ("token_rules", "subtype_rules"):
+            lines = _rule_lines(spark, path, name)
+            if lines is not None:
+                given[name] = [conditional.rule_from_dict(json.loads(line)) for line in lines]
         return cls.build(**given)
 
+    def to_directory(self, spark: SparkSession, path: str, tag_scopes=V.TAG_SCOPES) -> None:
+        """Write the pack as the tables that :meth:`from_directory` reads."""
+        lists = {k: v for k, v in self.vocabularies.items() if k not in ("skipped", "all_flavors")}
+        tables = {
+            "corrections": (["raw", "clean"], self.corrections.items()),
+            "skipped": (["token"], [(w,) for w in self.skipped]),
+            "vocabularies": (["list", "token"], [(k, w) for k, v in lists.items() for w in v]),
+            "types": (["type", "column", "value"], _rows_of(self.type_map)),
+            "overrides": (["product_type", "column", "value"], _rows_of(self.overrides)),
+            "tag_scopes": (
+                ["scope", "column", "tag"],
+                [(s, c, t) for s, columns in tag_scopes.items() for c, tags in columns.items() for t in tags],
+            ),
+            "hierarchy": (["group", "category"], [(g, c) for g, v in self.hierarchy.items() for c in v]),
+        }
+        for name, (columns, rows) in tables.items():
+            schema = ", ".join(f"`{c}` string" for c in columns)
+            (
+                spark.createDataFrame(list(rows), schema)
+                .coalesce(1)
+                .write.mode("overwrite")
+                .option("header", True)
+                .option("quote", '"')
+                .option("escape", '"')
+                .csv(f"{path.rstrip('/')}/{name}.csv")
+            )
+        for name, rules in (("token_rules", self.token_rules), ("subtype_rules", self.subtype_rules)):
+            lines = [(json.dumps(conditional.rule_to_dict(r), ensure_ascii=False),) for r in rules]
+            frame = spark.createDataFrame(lines, "value string").coalesce(1)
+            frame.write.mode("overwrite").text(f"{path.rstrip('/')}/{name}.json")
+
     def with_rules(self, **changes) -> "RuleSet":
         """A copy with some fields changed, checked again."""
         pack = replace(self, compiled={}, **changes)
@@ -244,10 +290,36 @@ def _rule_table(spark, path, name, columns):
     return [tuple(row) for row in rows]
 
 
+def _rule_lines(spark, path, name) -> list[str] | None:
+    from provender.sources.readers import path_exists
+
+    table_path = f"{path.rstrip('/')}/{name}.json"
+    if not path_exists(spark, table_path):
+        return None
+    rows = spark.read.text(table_path).limit(MAX_TABLE_ROWS + 1).collect()
+    if len(rows) > MAX_TABLE_ROWS:
+        raise RuleError(f"rule table {table_path} has more than {MAX_TABLE_ROWS} rows")
+    return [row["value"] for row in rows if row["value"].strip()]
+
+
+def _rows_of(assignments: Mapping[str, dict]) -> list[tuple]:
+    """The opposite of :func:`_assignments`; a key without values has a row without column."""
+    rows: list[tuple] = []
+    for key, row in assignments.items():
+        if not row:
+            rows.append((key, None, None))
+        for column, value in row.items():
+            values = value if isinstance(value, (list, tuple)) else [value]
+            rows += [(key, column, v) for v in values]
+    return rows
+
+
 def _assignments(rows) -> dict[str, dict]:
     result: dict[str, dict] = {}
     for key, column, value in rows:
         target = result.setdefault(key, {})
+        if column is None:
+            continue
         if column == S.SUB_TYPES:
             target.setdefault(column, []).append(value)
         else:

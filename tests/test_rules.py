@@ -1,7 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from provender.errors import RuleError
+from provender.operators import decode
 from provender.operators.normalize import normalize
+from provender.rules import conditional
+from provender.rules import fixed_values as V
 from provender.rules.conditional import Rule, When
 from provender.rules.fixed_values import HIERARCHY
 from provender.rules.ruleset import RuleSet, category_groups, close_corrections, tag_gates
@@ -111,3 +115,36 @@ def test_own_rules(make_rows):
     out = {r["row_id"]: r for r in normalize(rows, pack).collect()}
     assert out[0]["Sub-Types"] == ["front", "row", "z"] and out[0]["Skin"] == "lit"
     assert out[1]["Sub-Types"] == ["dim"]
+
+
+def test_a_pack_survives_being_written_and_read(spark, make_rows, rules, tmp_path):
+    """All tables: the pack read back is equal and gives equal results."""
+    rules.to_directory(spark, str(tmp_path / "pack"))
+    pack = RuleSet.from_directory(spark, str(tmp_path / "pack"))
+    for name in RuleSet.__dataclass_fields__:
+        if name != "compiled":
+            assert getattr(pack, name) == getattr(rules, name), name
+    rows = make_rows(
+        [
+            ("Meat", "Beef", "Beef", "x", "beef, taco meat, popper"),
+            ("Bread, Grains & Legumes", "Grain Products", None, "x", "cereal, apple jacks"),
+            ("Meat", "Pork", "Pork", "BOLOGNA ALL MEAT", "bologna, sliced"),
+        ]
+    )
+    assert normalize(rows, pack).collect() == normalize(rows, rules).collect()
+
+
+def test_odd_rules_are_refused():
+    with pytest.raises(RuleError, match="odd"):
+        conditional.rule_from_dict({"name": "odd", "when": [{"tokens": ["a"]}], "unheard_of": 1})
+    with pytest.raises(RuleError):
+        conditional.rule_from_dict({"name": "no condition"})
+
+
+def test_own_hierarchy(spark):
+    pack = RuleSet.build(hierarchy={"Toys": ["Balls"], **V.HIERARCHY})
+    assert pack.category_groups["Balls"] == "Toys" and "Balls" in pack.gates
+    row = spark.range(1).select(
+        decode.inconsistent(F.lit("Toys"), F.lit("Balls"), F.lit("Balls"), pack.hierarchy)
+    )
+    assert row.first()[0] is False
