@@ -6,20 +6,30 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import (
+    LogisticRegression,
+    LogisticRegressionModel,
+    NaiveBayes,
+    NaiveBayesModel,
+)
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.errors import DataError
-from provender.functions.expressions import broadcast_if_small
+from provender.functions.expressions import lookup
+from provender.functions.saved import read_json, write_json
 from provender.operators.dataset import sub_type_target, text_input
-from provender.operators.metrics import confusion, head_metrics, mean_metrics
+from provender.operators.metrics import confusion, head_metrics, mean_metrics, multilabel_metrics
+from provender.rules.ruleset import MAX_TABLE_ROWS
 
 FEATURES = "features"
 ESTIMATORS = ("naive_bayes", "logistic_regression")
+LOADED = {m.__name__: m for m in (NaiveBayesModel, LogisticRegressionModel)}
+#: Labels times features of a head, which naive Bayes holds in the driver and in every task.
+MAX_MODEL_CELLS = 50_000_000
 CHOICE_METRICS = ("basic_type_accuracy", "mean_f1_score")
 
 
@@ -81,22 +91,19 @@ class TextClassifier:
         The sub-types head is trained on one row per sub-type that a row has; rows without any
         count for the "no value" class.
         """
+        cells = num_features * max(map(len, labels.values()), default=0)
+        if estimator == "naive_bayes" and cells > MAX_MODEL_CELLS:
+            raise DataError(
+                f"a model of {cells} numbers is held in memory; take fewer features, or ``bayes``"
+            )
         features = feature_pipeline(text_column, num_features, ngrams).fit(df)
-        data = features.transform(df).drop("_text", "_words", "_tf").persist()
+        targets = {head: _label_indexes(head, names) for head, names in labels.items()}
+        data = features.transform(df).drop("_text", "_words", "_tf")
+        data = data.select(FEATURES, *[y.alias(f"_y {head}") for head, y in targets.items()]).persist()
         models = {}
-        for head, names in labels.items():
-            if head == S.SUB_TYPES:
-                target = F.when(
-                    F.size(sub_type_target()) > 0, sub_type_target()
-                ).otherwise(F.array(F.lit(S.NO_LABEL)))
-                rows = data.select(FEATURES, F.explode(target).alias("_label"))
-            else:
-                rows = data.select(FEATURES, F.col(S.quoted(head)).alias("_label"))
-            index = rows.sparkSession.createDataFrame(
-                [(name, float(i)) for i, name in enumerate(names)], "_label string, _y double"
-            )
-            rows = rows.join(broadcast_if_small(index), "_label")
-            models[head] = _estimator(estimator).fit(rows.select(FEATURES, "_y"))
+        for head in labels:
+            rows = data.select(FEATURES, F.explode(S.quoted(f"_y {head}")).alias("_y"))
+            models[head] = _estimator(estimator).fit(rows)
         data.unpersist()
         return cls(text_column, features, models, {h: list(v) for h, v in labels.items()})
 
@@ -126,17 +133,64 @@ class TextClassifier:
         return {head: F.col(S.quoted(f"{head} scores")) for head in self.models}
 
     def save(self, path: str) -> None:
-        """Write features and models below one directory."""
+        """Write features, models and labels below one directory."""
         self.features.write().overwrite().save(f"{path}/features")
         for i, model in enumerate(self.models.values()):
             model.write().overwrite().save(f"{path}/head_{i}")
+        about = {"text_column": self.text_column, "labels": [[h, self.labels[h]] for h in self.models]}
+        kinds = [type(m).__name__ for m in self.models.values()]
+        write_json(SparkSession.active(), f"{path}/about", {**about, "kinds": kinds})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "TextClassifier":
+        """What :meth:`save` wrote, from any session."""
+        about = read_json(spark, f"{path}/about")
+        models = {
+            head: LOADED[kind].load(f"{path}/head_{i}")
+            for i, ((head, _), kind) in enumerate(zip(about["labels"], about["kinds"], strict=True))
+        }
+        features = PipelineModel.load(f"{path}/features")
+        return cls(about["text_column"], features, models, dict(map(tuple, about["labels"])))
+
+
+def _label_indexes(head: str, names: list[str]) -> Column:
+    """The indexes of a row's labels: one, or one for each sub-type. A label that is not listed is
+    an error; training on the other rows only would go unnoticed."""
+    if head == S.SUB_TYPES:
+        none = F.array(F.lit(S.NO_LABEL))
+        labels = F.when(F.size(sub_type_target()) > 0, sub_type_target()).otherwise(none)
+    else:
+        labels = F.array(F.col(S.quoted(head)))
+    table = {name: float(i) for i, name in enumerate(names)}
+
+    def index(label: Column) -> Column:
+        unknown = F.raise_error(
+            F.concat(F.lit(f"{head}: label not listed: "), F.coalesce(label, F.lit("null")))
+        )
+        return F.coalesce(lookup(label, table, "double"), unknown.cast("double"))
+
+    return F.transform(labels, index)
+
+
+def labels_of(index: DataFrame) -> dict[str, list[str]]:
+    """Each head's labels in order, from a label index of at most ``MAX_TABLE_ROWS`` rows."""
+    rows = index.limit(MAX_TABLE_ROWS + 1).collect()
+    if len(rows) > MAX_TABLE_ROWS:
+        raise DataError(f"more than {MAX_TABLE_ROWS} labels; use ``bayes`` for such a head")
+    labels: dict[str, list[str]] = {}
+    for row in sorted(rows, key=lambda r: (r["column"], r["index"])):
+        labels.setdefault(row["column"], []).append(row["label"])
+    return labels
 
 
 def evaluate(df: DataFrame, classifier: TextClassifier) -> DataFrame:
-    """Metrics per single-label head on labeled rows."""
+    """Metrics per head on labeled rows; sub-types count as predicted at a probability over 1/2.
+
+    Rows are scored once, for the single-label heads and the sub-types together.
+    """
     heads = [h for h in classifier.models if h != S.SUB_TYPES]
     scored = classifier.score(df)
-    pairs = F.array(
+    single = F.array(
         *[
             F.struct(
                 F.lit(h).alias("head"),
@@ -151,7 +205,17 @@ def evaluate(df: DataFrame, classifier: TextClassifier) -> DataFrame:
             for h in heads
         ]
     )
-    return head_metrics(confusion(scored.select(F.inline(pairs))))
+    if S.SUB_TYPES not in classifier.models:
+        return head_metrics(confusion(scored.select(F.inline(single))))
+    names = F.array(*[F.lit(x) for x in classifier.labels[S.SUB_TYPES]])
+    odds = F.col(S.quoted(f"{S.SUB_TYPES} scores"))
+    likely = F.transform(odds, lambda x, i: F.when(x > 0, F.get(names, i)))
+    guess = F.array_except(F.array_compact(likely), F.array(F.lit(S.NO_LABEL)))
+    kept = scored.select(
+        single.alias("single"), sub_type_target().alias("truth"), guess.alias("guess")
+    ).persist()
+    result = multilabel_metrics(kept, "truth", "guess")
+    return head_metrics(confusion(kept.select(F.inline("single")))).unionByName(result) if heads else result
 
 
 def choose(

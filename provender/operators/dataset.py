@@ -61,7 +61,7 @@ def class_counts(df: DataFrame, labels: list[str] = S.LABELS) -> DataFrame:
 def label_index(counts: DataFrame) -> DataFrame:
     """(column, label, index): the place of each label among the sorted labels of its head."""
     labels = counts.filter(~F.col("column").isin(S.SUB_TYPE_COLUMNS)).select("column", "label")
-    ranked = rank_within(labels, ["column"], [F.col("label").asc()])
+    ranked = rank_within(labels, ["column"], ["label"])
     return ranked.select("column", "label", (F.col("rank") - 1).cast("int").alias("index"))
 
 
@@ -119,16 +119,33 @@ def encode_labels(
     sizes = {row["column"]: row["count"] for row in index.groupBy("column").count().collect()}
     result = df
     for label in labels:
-        key, value = f"{label} key", f"{label}_index"
-        part = index.filter(F.col("column") == heads[label]).select(
-            F.col("label").alias(key), F.col("index").alias(value)
-        )
-        if sizes.get(heads[label], 0) <= MAX_BROADCAST_ROWS:
-            part = F.broadcast(part)
-        result = result.join(part, _col(label) == F.col(S.quoted(key)), "left").drop(key)
+        part = index.filter(F.col("column") == heads[label]).select("label", "index")
+        result = _joined_index(result, part, label, sizes.get(heads[label], 0))
     return result
 
 
+def _joined_index(df: DataFrame, part: DataFrame, label: str, size: int) -> DataFrame:
+    """``<label>_index`` by a join. The "no value" label, most of nearly every column, is looked up
+    once; its rows have no join key but a salt, so a shuffle does not gather them in one task."""
+    key, value = f"{label} key", f"{label}_index"
+    part = part.select(F.col("label").alias(key), F.col("index").alias(value))
+    if size <= MAX_BROADCAST_ROWS:
+        return df.join(F.broadcast(part), _col(label) == _col(key), "left").drop(key)
+    none = part.filter(_col(key) == S.NO_LABEL).first()
+    is_none = _col(label) == S.NO_LABEL
+    rows = df.withColumns(
+        {
+            "_wanted": F.when(~is_none, _col(label)),
+            "_salt": F.when(is_none, F.xxhash64(*[_col(c) for c in df.columns])).otherwise(0),
+        }
+    )
+    part = part.withColumn("_zero", F.lit(0).cast("long"))
+    same = (F.col("_wanted") == _col(key)) & (F.col("_salt") == F.col("_zero"))
+    joined = rows.join(part, same, "left")
+    filled = F.when(_col(label) == S.NO_LABEL, F.lit(none[value] if none else None).cast("int"))
+    return joined.withColumn(value, filled.otherwise(_col(value))).drop(key, "_wanted", "_salt", "_zero")
+
+
 def sub_type_target(columns: list[str] = S.SUB_TYPE_COLUMNS) -> Column:
     """The row's sub-types as a set, without the "no value" label."""
     return F.array_sort(
@@ -137,10 +154,51 @@ def sub_type_target(columns: list[str] = S.SUB_TYPE_COLUMNS) -> Column:
 
 
 def multi_hot(indexes: Column, size: int) -> Column:
-    """A 0/1 vector of the given length with ones at the indexes."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.array_contains(indexes, i).cast("int"),
+    """A 0/1 vector of the given length with ones at the indexes, in time linear in the length.
+
+    Between two neighbouring indexes stands a run of zeros and a one.
+    """
+    ends = F.concat(F.sort_array(F.array_distinct(indexes)), F.array(F.lit(size)))
+    runs = F.transform(
+        ends,
+        lambda end, i: F.concat(
+            F.array_repeat(F.lit(0), end - F.when(i > 0, F.get(ends, i - 1) + 1).otherwise(0)),
+            F.array_repeat(F.lit(1), F.when(end < size, 1).otherwise(0)),
+        ),
+    )
+    return F.flatten(runs)
+
+
+def label_set_index(
+    df: DataFrame,
+    labels: Column,
+    index: DataFrame,
+    head: str,
+    max_literal_rows: int = MAX_TABLE_ROWS,
+) -> DataFrame:
+    """Add ``ones``, the sorted indexes of a set of labels.
+
+    With a small vocabulary this is a lookup inside the row. With a larger one the labels are
+    exploded and joined, and gathered again by a row number, which no row shares with another.
+    """
+    part = index.filter(F.col("column") == head).select("label", "index").persist()
+    known = part.limit(max_literal_rows + 1).collect()
+    if len(known) <= max_literal_rows:
+        table = {row["label"]: row["index"] for row in known}
+        ones = F.array_compact(F.transform(labels, lambda x: lookup(x, table, "int")))
+        return df.withColumn("ones", F.array_sort(F.array_distinct(ones)))
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).persist()
+    found = (
+        rows.select("_row", F.explode(labels).alias("label"))
+        .join(broadcast_if_small(part), "label")
+        .groupBy("_row")
+        .agg(F.array_sort(F.collect_set("index")).alias("ones"))
+    )
+    nothing = F.array().cast("array<int>")
+    return (
+        rows.join(found, "_row", "left")
+        .withColumn("ones", F.coalesce("ones", nothing))
+        .drop("_row")
     )
 
 

@@ -35,10 +35,11 @@ def _weighted(value: Column, support: Column) -> Column:
     return F.when(weight > 0, F.sum(value * support) / weight)
 
 
-def _weighted_scores(classes: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted scores from (keys, class, tp, support, predicted)."""
+def _weighted_scores(classes: DataFrame, keys: list[str], accuracy: Column) -> DataFrame:
+    """Accuracy and weighted scores from (keys, class, tp, support, predicted)."""
     tp, support, predicted = F.col("tp"), F.col("support"), F.col("predicted")
     return classes.groupBy(*keys).agg(
+        accuracy.alias("accuracy"),
         _weighted(F.try_divide(tp, predicted), support).alias("precision"),
         _weighted(F.try_divide(tp, support), support).alias("recall"),
         _weighted(F.try_divide(2 * tp, support + predicted), support).alias("f1"),
@@ -52,9 +53,6 @@ def head_metrics(counts: DataFrame) -> DataFrame:
     over the defined classes only.
     """
     hit = F.col("label") == F.col("pred")
-    accuracy = counts.groupBy("head").agg(
-        (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")
-    )
     sides = counts.select(
         F.col("head"),
         F.inline(
@@ -77,7 +75,8 @@ def head_metrics(counts: DataFrame) -> DataFrame:
     classes = sides.groupBy("head", "class").agg(
         *[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]
     )
-    return accuracy.join(_weighted_scores(classes, ["head"]), "head")
+    # Every row supports one class, so the accuracy comes from the class table as well.
+    return _weighted_scores(classes, ["head"], F.sum("tp") / F.sum("support"))
 
 
 def multilabel_metrics(
@@ -85,27 +84,48 @@ def multilabel_metrics(
 ) -> DataFrame:
     """Subset accuracy (exact set equality) and weighted scores of two set columns.
 
-    One pass: each row's labels are compared inside the row, so no join of labels with
-    predictions is needed.
+    One pass: each row's labels are compared inside the row and become one row per class, and one
+    more for the row itself, which carries whether its sets are equal. So the input is read once
+    and nothing is joined.
     """
     truth, guess = F.col(S.quoted(labels)), F.col(S.quoted(predictions))
     exact = F.array_sort(F.array_distinct(truth)) == F.array_sort(F.array_distinct(guess))
-    accuracy = df.agg(F.avg(exact.cast("double")).alias("accuracy"))
-    parts = df.select(truth.alias("_t"), guess.alias("_g")).select(
-        "_t", "_g", F.explode(F.array_union("_t", "_g")).alias("class")
+
+    def part(name: Column, is_class: bool, tp: Column, support: Column, predicted: Column) -> Column:
+        return F.struct(
+            name.cast("string").alias("class"),
+            F.lit(is_class).alias("is_class"),
+            tp.cast("bigint").alias("tp"),
+            support.cast("bigint").alias("support"),
+            predicted.cast("bigint").alias("predicted"),
+        )
+
+    in_truth, in_guess = (lambda x: F.array_contains("_t", x)), (lambda x: F.array_contains("_g", x))
+    one = F.lit(1)
+    parts = df.select(truth.alias("_t"), guess.alias("_g"), exact.alias("_exact")).select(
+        F.inline(
+            F.concat(
+                F.array(part(F.lit(None), False, F.col("_exact"), one, one)),
+                F.transform(
+                    F.array_union("_t", "_g"),
+                    lambda x: part(x, True, in_truth(x) & in_guess(x), in_truth(x), in_guess(x)),
+                ),
+            )
+        )
+    )
+    classes = parts.groupBy("is_class", "class").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]
     )
-    in_truth = F.array_contains("_t", F.col("class")).cast("bigint")
-    in_guess = F.array_contains("_g", F.col("class")).cast("bigint")
-    classes = parts.groupBy("class").agg(
-        F.sum(in_truth * in_guess).alias("tp"),
-        F.sum(in_truth).alias("support"),
-        F.sum(in_guess).alias("predicted"),
+    # The rows' own class gives the accuracy and has no weight in the scores.
+    of_rows = ~F.col("is_class")
+    only = [F.when(F.col("is_class"), F.col(c)).alias(c) for c in ("tp", "support", "predicted")]
+    scores = _weighted_scores(
+        classes.select("is_class", *only, F.col("tp").alias("_tp"), F.col("support").alias("_n")),
+        [],
+        F.sum(F.when(of_rows, F.col("_tp"))) / F.sum(F.when(of_rows, F.col("_n"))),
     )
-    scores = _weighted_scores(classes, []).withColumn("head", F.lit(head))
-    return (
-        accuracy.withColumn("head", F.lit(head))
-        .join(scores, "head")
-        .select("head", "accuracy", "precision", "recall", "f1")
+    return scores.select(
+        F.lit(head).alias("head"), "accuracy", "precision", "recall", "f1"
     )
 
 

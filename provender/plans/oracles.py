@@ -121,21 +121,16 @@ placed AS (
 SELECT uid AS "Unique Id", coalesce(string_agg(x, '|' ORDER BY place), '') AS "Sub-Types"
 FROM sets LEFT JOIN placed USING (nid) GROUP BY nid, uid"""
 
-_DEDUPED = ["fpg", "fpc", "pfpc", "t1", "t2", "t3", "t4", "t5"]
-
-
-def _once(i: int) -> str:
-    same = " OR ".join(f"coalesce({_DEDUPED[i]} = {c}, false)" for c in _DEDUPED[:i]) or "false"
-    return f"CASE WHEN {same} THEN NULL ELSE {_DEDUPED[i]} END AS v{i}"
-
-
 _ORACLE["column_dedupe"] = f"""{TOKEN_CTES},
-first_tokens AS (
-  SELECT nid, {", ".join(f"max(tok) FILTER (pos = {i}) AS t{i}" for i in range(1, 6))}
-  FROM token GROUP BY nid
-)
-SELECT uid AS "Unique Id", {", ".join(_once(i) for i in range(8))}
-FROM first_tokens JOIN cleaned USING (nid)"""
+all_tokens AS (SELECT nid, list(tok ORDER BY pos) AS toks FROM token GROUP BY nid),
+all_values AS (
+  SELECT uid, [c.fpg, c.fpc, c.pfpc] || coalesce(toks, []::VARCHAR[]) AS v
+  FROM folded_rows JOIN cleaned c USING (nid) LEFT JOIN all_tokens USING (nid)
+),
+placed AS (SELECT uid, v, unnest(generate_series(1, len(v))) AS i FROM all_values)
+SELECT uid AS "Unique Id", (i - 1)::INTEGER AS pos,
+       CASE WHEN list_position(v, v[i]) = i THEN v[i] END AS value
+FROM placed"""
 
 # --- reports -------------------------------------------------------------------------------------
 
@@ -258,6 +253,7 @@ _ORACLE["encode_rows"] = (
         for n, c in enumerate(S.LABELS)
     )
 )
+_ORACLE["encode_rows_joined"] = _ORACLE["encode_rows"]
 _ORACLE["multi_hot"] = f"""{_TRAINING},
 ones AS (
   SELECT DISTINCT t.nid, i.index
@@ -416,6 +412,23 @@ SELECT vec_id, CASE WHEN nonfood THEN '' ELSE concat_ws(', ', nullif(bl, 'None')
        nullif(frl, 'None'), nullif(pkl, 'None'), st1, st2, st3) END AS "Combined Name"
 FROM joined JOIN sub_types USING (vec_id)"""
 
+_ORACLE["masked_argmax_trained"] = f"""{_TRAINING},
+type_index AS (SELECT label, index FROM label_index WHERE "column" = 'Basic Type'),
+group_index AS (SELECT label, index FROM label_index WHERE "column" = 'Food Product Group'),
+vec AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, g.label AS grp
+  FROM embeddings JOIN group_index g ON g.index = vec_id % (SELECT count(*) FROM group_index)
+),
+seen_pairs AS (SELECT DISTINCT "Food Product Group" AS grp, "Basic Type" AS label FROM training),
+scored AS (
+  SELECT v.vec_id, v.grp, t.index, t.label,
+    exp(e[t.index % 64 + 1]) / (1 + t.index % 7) * (s.label IS NOT NULL)::INTEGER AS score
+  FROM vec v CROSS JOIN type_index t
+  LEFT JOIN seen_pairs s ON s.grp = v.grp AND s.label = t.label
+)
+SELECT vec_id, grp AS "group", label, round(score, 6) AS score FROM scored
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, index) = 1"""
+
 _OUTPUT = {
     "Product Identifier": "vec_id::VARCHAR",
     "Product Type": "'P' || vec_id",
@@ -444,11 +457,21 @@ FROM joined JOIN sub_types USING (vec_id)"""
 # --- evaluation ----------------------------------------------------------------------------------
 
 _PAIRS = f"""{FULL_CTES},
-first_token AS (SELECT nid, tok FROM token WHERE pos = 1),
+every_name AS (
+  SELECT nid, unnest(string_split(pn, ',')) AS raw,
+         generate_subscripts(string_split(pn, ','), 1) AS pos
+  FROM cleaned
+),
+every_token AS MATERIALIZED (
+  SELECT nid, pos, coalesce(c.clean, e.word) AS tok
+  FROM (SELECT nid, pos, trim(lower(raw), {WHITE}) AS word FROM every_name) e
+  LEFT JOIN corrected c ON c.raw = e.word
+),
+first_token AS (SELECT nid, tok FROM every_token WHERE pos = 1),
 both_sides AS (
   SELECT n.nid, n.fpg, n.fpc, n.pfpc, n.v0, c.fpg AS fpg_p, c.fpc AS fpc_p, c.pfpc AS pfpc_p,
          t.tok AS v0_p, [x for x in [v1, v2, v3] if x IS NOT NULL] AS truth
-  FROM named n JOIN cleaned c USING (nid) JOIN first_token t USING (nid)
+  FROM named n JOIN cleaned c USING (nid) LEFT JOIN first_token t USING (nid)
 ),
 pairs AS (
   {" UNION ALL ".join(
@@ -477,7 +500,7 @@ SELECT round(avg(accuracy), 6) AS mean_accuracy, round(avg(f1), 6) AS mean_f1_sc
        round(max(accuracy) FILTER (head = 'Basic Type'), 6) AS basic_type_accuracy FROM heads"""
 _ORACLE["multilabel_metrics"] = f"""{_PAIRS},
 guesses AS (
-  SELECT nid, list(DISTINCT tok) AS guess FROM token WHERE pos > 1 GROUP BY nid
+  SELECT nid, list(DISTINCT tok) AS guess FROM every_token WHERE pos > 1 GROUP BY nid
 ),
 sets AS (
   SELECT b.nid, list_sort(truth) AS truth, list_sort(coalesce(guess, []::VARCHAR[])) AS guess
@@ -496,4 +519,52 @@ SELECT 'Sub-Types' AS head,
   round(sum(su * 2 * tp / (su + pr)) / sum(su), 6) AS f1
 FROM sub"""
 
+# --- classifier ----------------------------------------------------------------------------------
+
+_TERMS = r"""lower(text) AS low FROM documents WHERE length(text) > 0 AND lang IS NOT NULL"""
+_SPLIT = r"""unnest(string_split_regex(low, '[^\p{L}\p{N}%&''-]+'))"""
+_ORACLE["text_features"] = f"""
+WITH terms AS (
+  SELECT doc_id, {_SPLIT} AS term FROM (SELECT doc_id, lower(text) AS low FROM documents)
+),
+counted AS (SELECT term, count(DISTINCT doc_id) AS texts FROM terms WHERE term <> '' GROUP BY term)
+SELECT term, texts,
+       round(ln(((SELECT count(text) FROM documents) + 1) / (texts + 1)), 6) AS idf
+FROM counted"""
+_ORACLE["bayes_terms"] = f"""
+SELECT label, term, count(*) AS n FROM (
+  SELECT lang AS label, {_SPLIT} AS term FROM (SELECT lang, {_TERMS}))
+WHERE term <> '' GROUP BY ALL"""
+_ORACLE["bayes_language"] = f"""
+WITH texts AS (
+  SELECT doc_id, lang AS label, md5(text)[1] IN ('0', '1', '2') AS held, {_TERMS}
+),
+words AS (
+  SELECT * FROM (SELECT doc_id, label, held, {_SPLIT} AS term FROM texts) WHERE term <> ''
+),
+counts AS (SELECT label, term, count(*) AS n FROM words WHERE NOT held GROUP BY ALL),
+sizes AS (SELECT label, sum(n) AS size FROM counts GROUP BY label),
+shares AS (
+  SELECT label, ln(count(*) / (SELECT count(*) FROM texts WHERE NOT held)) AS base
+  FROM texts WHERE NOT held GROUP BY label
+),
+labels AS (
+  SELECT label, base,
+    coalesce(size, 0) + (SELECT count(DISTINCT term) FROM counts) AS denominator
+  FROM shares LEFT JOIN sizes USING (label)
+),
+used AS (SELECT doc_id, term, count(*) AS n FROM words WHERE held GROUP BY ALL),
+gains AS (
+  SELECT u.doc_id, l.label, sum(u.n * ln((coalesce(c.n, 0) + 1) / l.denominator)) AS gain
+  FROM used u CROSS JOIN labels l LEFT JOIN counts c ON c.term = u.term AND c.label = l.label
+  GROUP BY ALL
+),
+scored AS (
+  SELECT t.doc_id, l.label, l.base + coalesce(g.gain, 0) AS score
+  FROM (SELECT doc_id FROM texts WHERE held) t CROSS JOIN labels l
+  LEFT JOIN gains g ON g.doc_id = t.doc_id AND g.label = l.label
+)
+SELECT doc_id, label, round(score, 4) AS score FROM scored
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"""
+
 ORACLES = dict(_ORACLE)

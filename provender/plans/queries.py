@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.functions.expressions import broadcast_if_small, let
-from provender.operators import classify, clean, dataset, decode, metrics, report
+from provender.operators import bayes, classify, clean, dataset, decode, metrics, report
 from provender.operators import normalize as N
 from provender.plans import purchases as P
 from provender.plans import scores
@@ -91,18 +91,11 @@ def _folded(spark, sf) -> DataFrame:
 
 
 def q_token_clean(spark, sf):
-    """One row per token; corrections come by a join with the correction table."""
-    corrections = spark.createDataFrame(
-        list(rules().corrections.items()), "raw string, clean string"
-    )
+    """One row per token, as the normalization resolves it."""
     tokens = _folded(spark, sf).select(
-        "Unique Id", F.posexplode(F.split(S.quoted(S.PRODUCT_NAME), ",", -1)).alias("pos", "raw")
-    )
-    tokens = tokens.withColumn("raw", N.strip(F.lower("raw")))
-    joined = tokens.join(broadcast_if_small(corrections), "raw", "left")
-    return joined.select(
-        "Unique Id", F.col("pos").cast("int"), F.coalesce("clean", "raw").alias("token")
+        "Unique Id", N.split_tokens(F.col(S.quoted(S.PRODUCT_NAME)), rules()).alias("tokens")
     )
+    return tokens.select("Unique Id", F.posexplode("tokens").alias("pos", "token"))
 
 
 def q_type_map_first(spark, sf):
@@ -204,17 +197,15 @@ def q_subtype_collapse(spark, sf):
 
 
 def q_column_dedupe(spark, sf):
-    """Repeats removed across the three categories and the first five tokens."""
+    """Repeats removed across the three categories and all tokens."""
     rows = _folded(spark, sf).select(
         "Unique Id",
         *_cols(S.CATEGORY_LABELS),
         N.split_tokens(F.col(S.quoted(S.PRODUCT_NAME)), rules()).alias("tokens"),
     )
-    values = F.array(
-        *_cols(S.CATEGORY_LABELS), *[F.get("tokens", F.lit(i)) for i in range(5)]
-    )
+    values = F.concat(F.array(*_cols(S.CATEGORY_LABELS)), F.col("tokens"))
     rows = rows.select("Unique Id", N.without_repeats(values).alias("v"))
-    return rows.select("Unique Id", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(8)])
+    return rows.select("Unique Id", F.posexplode("v").alias("pos", "value"))
 
 
 # --- reports -------------------------------------------------------------------------------------
@@ -325,21 +316,16 @@ def q_multi_hot(spark, sf):
     """The sub-types of each row as indexes, without the "no value" label."""
     rows = training(spark, sf).persist()
     index = dataset.label_index(dataset.class_counts(rows)).persist()
-    part = index.filter(F.col("column") == S.SUB_TYPES).select("label", "index")
-    # Distinct label sets are few; they are encoded once and joined back.
-    target = dataset.sub_type_target()
-    sets = rows.select(target.alias("labels")).distinct()
-    encoded = (
-        sets.select("labels", F.explode("labels").alias("label"))
-        .join(broadcast_if_small(part), "label")
-        .groupBy("labels")
-        .agg(F.sort_array(F.collect_set("index")).alias("ones"))
-    )
-    return (
-        rows.select(S.ROW_ID, target.alias("labels"))
-        .join(encoded, "labels", "left")
-        .select(S.ROW_ID, F.coalesce(F.array_join("ones", "|"), F.lit("")).alias("ones"))
-    )
+    ones = dataset.label_set_index(rows, dataset.sub_type_target(), index, S.SUB_TYPES)
+    return ones.select(S.ROW_ID, F.coalesce(F.array_join("ones", "|"), F.lit("")).alias("ones"))
+
+
+def q_encode_rows_joined(spark, sf):
+    """The encoding of rows by joins, as for vocabularies that are too large for a literal."""
+    rows = training(spark, sf).persist()
+    index = dataset.label_index(dataset.class_counts(rows))
+    done = dataset.encode_labels(rows, index, max_literal_rows=0)
+    return done.select(S.ROW_ID, *_cols([f"{c}_index" for c in S.LABELS]))
 
 
 # --- decoding ------------------------------------------------------------------------------------
@@ -372,6 +358,27 @@ def q_masked_argmax(spark, sf):
     )
 
 
+def q_masked_argmax_trained(spark, sf):
+    """Masked basic types with the labels and masks that the training tables give, by joins."""
+    rows = training(spark, sf).select(*_cols([S.PRODUCT_TYPE, *S.LABELS])).persist()
+    index = dataset.label_index(dataset.class_counts(rows)).persist()
+    sizes = {r["column"]: r["count"] for r in index.groupBy("column").count().collect()}
+    groups = index.filter(F.col("column") == S.FPG).select(
+        F.col("index").alias("_group"), F.col("label").alias("group")
+    )
+    types = F.sequence(F.lit(0), F.lit(sizes[S.BASIC_TYPE] - 1))
+    scored = (
+        scores.vectors(spark, sf)
+        .withColumn("_group", F.pmod("vec_id", F.lit(sizes[S.FPG])).cast("int"))
+        .join(broadcast_if_small(groups), "_group")
+        .select("vec_id", "group", "e", F.explode(types).alias("index"))
+        .withColumn("score", F.exp(F.get("e", F.col("index") % 64)) / (1 + F.col("index") % 7))
+    )
+    masks = dataset.inference_masks(rows)
+    best = decode.best_valid_labels(scored.drop("e"), index, masks, "vec_id")
+    return best.select("vec_id", "group", "label", F.round("score", 6).alias("score"))
+
+
 def q_consistency_assert(spark, sf):
     return _decoded(spark, sf, assertion=True).select("vec_id", *_cols(S.CATEGORY_LABELS))
 
@@ -414,7 +421,7 @@ def q_inference_output(spark, sf):
 
 def _evaluated(spark, sf) -> DataFrame:
     """Normalized labels against what the raw row says: its categories and first token."""
-    before = _folded(spark, sf)
+    before = cleaned(spark, sf)
     tokens = N.split_tokens(F.col(S.quoted(S.PRODUCT_NAME)), rules())
     before = before.withColumns(
         {f"{c}_pred": F.col(S.quoted(c)) for c in S.CATEGORY_LABELS} | {"tokens": tokens}
@@ -451,8 +458,9 @@ def q_mean_metrics(spark, sf):
 def q_multilabel_metrics(spark, sf):
     rows = _evaluated(spark, sf).select(
         F.array_compact(F.array(*_cols(S.SUB_TYPE_COLUMNS))).alias("truth"),
-        F.array_distinct(
-            F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(1)))
+        F.coalesce(
+            F.array_distinct(F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(1)))),
+            F.array().cast("array<string>"),
         ).alias("guess"),
     )
     return _rounded(metrics.multilabel_metrics(rows, "truth", "guess"))
@@ -461,35 +469,68 @@ def q_multilabel_metrics(spark, sf):
 # --- classifier ----------------------------------------------------------------------------------
 
 
+def _evaluation_part(text: str):
+    """Three texts in sixteen are for evaluation, equal texts together."""
+    return F.substring(F.md5(F.col(S.quoted(text))), 1, 1).isin("0", "1", "2")
+
+
 def q_text_classifier(spark, sf):
-    """Language and source of documents from their whole text."""
-    docs = P.read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    docs = docs.filter(F.length("text") > 0).persist()
-    labels = {
-        head: sorted(r[0] for r in docs.select(head).distinct().limit(1001).collect())
-        for head in ("lang", "source")
-    }
-    model = classify.TextClassifier.fit(docs, labels, text_column="text", num_features=1 << 14)
-    return _rounded(classify.evaluate(docs, model))
+    """Language and source of documents from their whole text, learnt from the rest of them.
+
+    Documents have to have a text and both labels, as training rows do."""
+    docs = P.read(spark, sf, "documents").select("text", "lang", "source")
+    docs = docs.filter(F.length("text") > 0).dropna().persist()
+    index = dataset.label_index(dataset.class_counts(docs, ["lang", "source"]))
+    labels = classify.labels_of(index)
+    part = _evaluation_part("text")
+    model = classify.TextClassifier.fit(
+        docs.filter(~part), labels, text_column="text", num_features=1 << 14
+    )
+    return _rounded(classify.evaluate(docs.filter(part), model))
+
+
+def q_text_features(spark, sf):
+    """Every term of documents with the number of texts it stands in and its weight."""
+    features = bayes.document_frequency(P.read(spark, sf, "documents"), "text")
+    return features.select("term", "texts", F.round("idf", 6).alias("idf"))
+
+
+def q_bayes_terms(spark, sf):
+    """The counts behind naive Bayes: for each language and term of documents."""
+    docs = P.read(spark, sf, "documents").filter("length(text) > 0 and lang is not null")
+    return bayes.term_counts(docs, "text", "lang").select("label", "term", "n")
+
+
+def q_bayes_language(spark, sf):
+    """Predicted language of the documents held out, by naive Bayes as joins of counts."""
+    docs = P.read(spark, sf, "documents").filter("length(text) > 0 and lang is not null")
+    part = _evaluation_part("text")
+    model = bayes.fit(docs.filter(~part), "text", "lang")
+    return bayes.predict(docs.filter(part), model, "doc_id", "text").select(
+        "doc_id", "label", F.round("score", 4).alias("score")
+    )
 
 
 def q_category_classifier(spark, sf):
-    """Group, category and sub-types of purchases from the product type; best of two models."""
+    """Group, category and sub-types of purchases from the product type; best of two models.
+
+    They are compared on texts that they have not learnt from."""
     rows = training(spark, sf).persist()
+    part = _evaluation_part(S.PRODUCT_TYPE)
     counts = dataset.class_counts(rows).persist()
     index = dataset.label_index(counts).persist()
     decoder = decode.Decoder.from_tables(
         index, counts, dataset.inference_masks(rows), rules().all_tags
     )
-    labels = {h: decoder.labels[h] for h in (S.FPG, S.FPC, S.PFPC)}
+    labels = {h: decoder.labels[h] for h in (S.FPG, S.FPC, S.PFPC, S.SUB_TYPES)}
     candidates = [
         (
             f"hashed_{bits}",
-            classify.TextClassifier.fit(rows, labels, num_features=1 << bits),
+            classify.TextClassifier.fit(rows.filter(~part), labels, num_features=1 << bits),
         )
         for bits in (10, 14)
     ]
-    _, _, table = classify.choose(candidates, rows, "mean_f1_score")
+    _, _, table = classify.choose(candidates, rows.filter(part), "mean_f1_score")
     return table.select("model", F.round("mean_accuracy", 6).alias("mean_accuracy"),
                         F.round("mean_f1_score", 6).alias("mean_f1_score"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.functions.expressions import list_text, lookup
+from provender.functions import ranking
 from provender.functions.ranking import rank_within
 from provender.operators import dataset, decode, metrics
 from provender.plans import scores
@@ -68,14 +69,39 @@ def test_training_preparation(spark):
 def test_multi_hot(spark):
     row = spark.range(1).select(dataset.multi_hot(F.array(F.lit(0), F.lit(3)), 5).alias("v"))
     assert row.first()["v"] == [1, 0, 0, 1, 0]
+    rows = spark.createDataFrame([([4, 0, 4],), ([],), ([2, 1],)], "ones array<int>")
+    got = [r["v"] for r in rows.select(dataset.multi_hot(F.col("ones"), 5).alias("v")).collect()]
+    assert got == [[1, 0, 0, 0, 1], [0] * 5, [0, 1, 1, 0, 0]]
 
 
-def test_rank_within_equals_row_number(spark):
+def test_label_sets_in_both_forms(spark):
+    index = spark.createDataFrame(
+        [("h", x, i) for i, x in enumerate("abcd")] + [("g", "a", 9)], "column string, label string, index int"
+    )
+    rows = spark.createDataFrame([(1, ["d", "a"]), (2, []), (3, ["a", "a", "zz"])], "id int, s array<string>")
+    for limit in (10, 0):
+        out = dataset.label_set_index(rows, F.col("s"), index, "h", max_literal_rows=limit)
+        assert {r["id"]: r["ones"] for r in out.collect()} == {1: [0, 3], 2: [], 3: [0]}
+
+
+def test_large_heads_are_joined_without_a_hot_key(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "None" if i % 5 else f"v{i}") for i in range(200)], "id int, h string")
+    index = dataset.label_index(dataset.class_counts(rows, ["h"]))
+    want = {r["id"]: r["h_index"] for r in dataset.encode_labels(rows, index, ["h"]).collect()}
+    monkeypatch.setattr(dataset, "MAX_BROADCAST_ROWS", 0)
+    joined = dataset.encode_labels(rows, index, ["h"], max_literal_rows=0)
+    assert {r["id"]: r["h_index"] for r in joined.collect()} == want
+    assert joined.columns == ["id", "h", "h_index"]
+
+
+@pytest.mark.parametrize("size", [100_000, 150])
+def test_rank_within_equals_row_number(spark, monkeypatch, size):
+    monkeypatch.setattr(ranking, "ROWS_PER_PIECE", size)
     rows = spark.range(3000).select(
         (F.col("id") % 3).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")
     )
     got = {(r["k"], r["v"]): r["rank"] for r in
-           rank_within(rows.repartition(5), ["k"], [F.col("v").asc()]).collect()}
+           rank_within(rows.repartition(5), ["k"], ["v"]).collect()}
     for k in range(3):
         ordered = sorted(v for kk, v in got if kk == k)
         assert [got[(k, v)] for v in ordered] == list(range(1, len(ordered) + 1))
@@ -168,7 +194,7 @@ def test_sub_types(spark):
 def test_decoder_from_tables_is_bounded(spark, monkeypatch):
     from provender.errors import RuleError
 
-    monkeypatch.setattr(decode, "MAX_TABLE_ROWS", 1)
+    monkeypatch.setattr(decode, "MAX_DECODER_ROWS", 1)
     index = spark.createDataFrame([("Frozen", "a", 0), ("Frozen", "b", 1)],
                                   "column string, label string, index int")
     with pytest.raises(RuleError):
@@ -215,3 +241,47 @@ def test_mean_metrics(spark):
     )
     row = metrics.mean_metrics(df).first()
     assert tuple(row) == (0.75, pytest.approx(0.6), 0.5)
+
+
+def test_naive_bayes_as_joins(spark):
+    """Against the formula, with a term no label has, an empty text and a tie."""
+    import math
+    from collections import Counter
+
+    from provender.operators import bayes
+
+    train = [("a", "Red red apple"), ("a", "apple"), ("b", "red beef"), ("b", None), (None, "x")]
+    model = bayes.fit(spark.createDataFrame(train, "label string, text string"), "text", "label")
+    counts = {"a": Counter("red red apple apple".split()), "b": Counter("red beef".split())}
+    base = {"a": math.log(2 / 3), "b": math.log(1 / 3)}
+    texts = [(1, "apple APPLE unseen"), (2, ""), (3, "beef, beef"), (4, None)]
+    got = bayes.scores(spark.createDataFrame(texts, "id int, text string"), model, "id", "text")
+    got = {(r["id"], r["label"]): r["score"] for r in got.collect()}
+    for i, text in texts:
+        for label, c in counts.items():
+            size = sum(c.values()) + 3
+            words = (text or "").lower().replace(",", "").split()
+            want = base[label] + sum(math.log((c[w] + 1) / size) for w in words)
+            assert got[i, label] == pytest.approx(want)
+    best = bayes.predict(spark.createDataFrame(texts, "id int, text string"), model, "id", "text")
+    assert {r["id"]: r["label"] for r in best.collect()} == {1: "a", 2: "a", 3: "b", 4: "a"}
+
+
+def test_unlisted_label_is_an_error(spark):
+    from provender.operators import classify
+
+    rows = spark.createDataFrame([("some text", "x"), ("other text", "y")], "text string, h string")
+    with pytest.raises(Exception, match="label not listed: y"):
+        classify.TextClassifier.fit(rows, {"h": ["x"]}, text_column="text", num_features=16)
+
+
+def test_sub_types_take_part_in_the_evaluation(spark):
+    from provender import schema
+    from provender.operators import classify
+
+    columns = ["Product Type", *schema.SUB_TYPE_COLUMNS]
+    rows = [("red apple", "gala", "None", "None")] * 5 + [("beef rib", "None", "None", "None")] * 5
+    df = spark.createDataFrame(rows, columns)
+    model = classify.TextClassifier.fit(df, {schema.SUB_TYPES: ["None", "gala"]}, num_features=64)
+    row = classify.evaluate(df, model).first()
+    assert row["head"] == schema.SUB_TYPES and row["accuracy"] == 1.0 and row["f1"] == 1.0

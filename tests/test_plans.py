@@ -56,11 +56,24 @@ def test_keep_first_is_a_partial_aggregation(spark):
 
 
 def test_every_query_but_the_classifiers_has_sql():
-    missing = set(contract.queries()) - set(contract.oracle_sql())
+    missing = set(QUERIES) - set(contract.oracle_sql())
     assert missing == {"text_classifier", "category_classifier"}
+    assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+@pytest.mark.parametrize("name", ["head_metrics", "mean_metrics", "multilabel_metrics"])
+def test_metrics_read_their_input_once(spark, name):
+    plan = _plan(QUERIES[name](spark, SF_DIR))
+    assert len(re.findall(r"Scan parquet", plan.split("(1)")[0])) <= 4
+    assert plan.count("lineitem.parquet") == 1 and "NestedLoop" not in plan
+
+
+def test_multi_hot_is_narrow(spark):
+    plan = _plan(QUERIES["multi_hot"](spark, SF_DIR))
+    assert "SortMergeJoin" not in plan and "Expand" not in plan
+
+
 WORDS = st.sampled_from(
     ["apple", "cut", "sliced", "ss", "cheddar", "swiss", "popper", "bar", "ham", "gherkin", "blend",
      "corn pops", "", " frozen", "pear", "dried", "vanilla", "steak", "smoked", "new word"]
