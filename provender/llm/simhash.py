@@ -223,10 +223,10 @@ def near_duplicates(
     )
 
 
-def components_of(hashed: DataFrame, least: Column) -> DataFrame:
+def components_of(hashed: DataFrame, least: Column, classes_of=classes) -> DataFrame:
     """``fp, _of`` for each fingerprint: the least of ``least`` over all rows of its component."""
     prints = cut(hashed.groupBy("fp").agg(least.alias("_least")))
-    rooted = prints.join(classes(prints.select("fp")), "fp", "left").withColumn(
+    rooted = prints.join(classes_of(prints.select("fp")), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     of = rooted.groupBy("root").agg(F.min("_least").alias("_of"))
@@ -241,10 +241,16 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     hashed = cut(
         keyed.select(F.col(id_col).alias("_id"), "_text", fingerprint_column(text_of(text_col), size).alias("fp"))
     )
+    return kept_rows(df, keyed, hashed, id_col, lambda least: components_of(hashed, least))
+
+
+def kept_rows(df: DataFrame, keyed: DataFrame, hashed: DataFrame, id_col: str, components_by) -> DataFrame:
+    """The rows of ``df`` that come first in their component. ``keyed`` is ``df`` with ``_text``, the
+    hash of the text, ``hashed`` has ``_id, _text, fp``; ``components_by`` gives ``components_of``."""
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text").alias("text"))
     kept = (
         hashed.select("fp", order.alias("_order"))
-        .join(components_of(hashed, F.min(order)), "fp")
+        .join(components_by(F.min(order)), "fp")
         .where(F.col("_order") == F.col("_of"))
         .groupBy("_of")
         .agg(F.count(F.lit(1)).alias("_n"))
