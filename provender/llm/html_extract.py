@@ -46,12 +46,18 @@ LEFT_OUT = frozenset(
     template textarea title video""".split()
 )
 ARTICLE = frozenset("article main".split())
-# Words in class, id or role that name what is no main text.
-_NAMED = re.compile(
-    r"""(?:ads?|advert\w*|adsense|alert|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?
+# Words in class, id or role that name what is no main text, and what may stand
+# before and after them. Other words ("with-sidebar", "no-comments") say something else.
+_BEFORE = "article|bottom|entry|global|js|left|main|mobile|page|post|primary|right|secondary|site|sticky|sub|top|user|wp"
+_AFTER = r"""area|bar|block|body|box|button|buttons|column|container|content|form|holder|inner|item|items|label|left|link
+    |links|list|message|outer|panel|placeholder|posts|right|row|section|slot|title|top|bottom|unit|wrap|wrapper|zone|\d+"""
+_WORDS = r"""(?:ads?|advert[^\W_]*|adsense|alert|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?
     |disqus|dropdown|footer|gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter
     |notices?|notification|pagination|pager|popup|promos?|promotion|recommended|related|replies|reply
-    |respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|widget)""",
+    |respond|search|share|sharing|sidebar|signup|social|sponsor[^\W_]*|subscribe|teaser|toolbar|widgets?)"""
+_NAMED = re.compile(
+    # The header of an article is that of its text.
+    rf"""(?!(?:article|entry|post)[-_]+header)(?:(?:{_BEFORE})[-_]+)*{_WORDS}(?:[-_]+(?:{_WORDS}|{_AFTER}))*""",
     re.X | re.I,
 )
 _RAW = "script|style|title|textarea|iframe|noframes|xmp"
@@ -64,7 +70,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_WORD = re.compile(r"[^\W_]+")
+_HOLDS = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 
 
 class Element:
@@ -77,18 +83,51 @@ class Element:
 ROOT = Element("", "", False, False)
 
 
-def opened(name: str, attributes: str, parent: Element) -> Element:
+def names_of(attributes: str) -> str:
+    return " ".join(b or c or d for _, b, c, d in _ATTRIBUTE.findall(attributes)) if attributes else ""
+
+
+def named(names: str) -> bool:
+    """Whether a whole class, id or role names what is no main text."""
+    return any(_NAMED.fullmatch(w) for w in names.split())
+
+
+def holders(page: str) -> frozenset[int]:
+    """Where the elements open that hold an article or main. Articles that are named as comments,
+    teasers and the like do not count for what is around them."""
+    found: set[int] = set()
+    if not _HOLDS.search(page):
+        return frozenset()
+    stack, places = [ROOT], [-1]
+    for token in _TOKEN.finditer(page):
+        name = (token["name"] or "").lower()
+        if not name:
+            continue
+        if token["end"]:
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            if depth:
+                del stack[depth:], places[depth:]
+            continue
+        _close_implied(name, stack)
+        del places[len(stack) :]
+        if name in ARTICLE and not named(names_of(token["attributes"])):
+            found.update(places)
+        if name not in VOID and not token["attributes"].endswith("/"):
+            stack.append(Element(name, "", False, False))
+            places.append(token.start())
+    return frozenset(found)
+
+
+def opened(name: str, attributes: str, parent: Element, holds: bool = False) -> Element:
     """An element below ``parent``: its path, whether it is in an article, and whether it is of
-    those parts of a page that are no main text."""
-    names = ""
-    if attributes:
-        found = [b or c or d for _, b, c, d in _ATTRIBUTE.findall(attributes)]
-        names = " ".join(found)
+    those parts of a page that are no main text. A name tells that only of an element that neither
+    is nor ``holds`` an article or main."""
+    names = names_of(attributes)
     left_out = (
         parent.left_out
         or name in LEFT_OUT
         or (name == "header" and not parent.inside)
-        or any(_NAMED.fullmatch(w) for w in _WORD.findall(names) if name not in ("html", "body"))
+        or (not holds and name not in ("html", "body", *ARTICLE) and named(names))
         or bool(attributes and _HIDDEN.search(attributes))
     )
     path = f"{parent.path}/{name}" + (f".{names}" if names else "")
@@ -97,7 +136,7 @@ def opened(name: str, attributes: str, parent: Element) -> Element:
 
 def walk(page: str) -> Iterator[tuple[str, Element | str, Element]]:
     """The tags and texts of a page in order: ("tag" or "end", element, parent), ("text", text, parent)."""
-    stack, at = [ROOT], 0
+    stack, at, holding = [ROOT], 0, holders(page)
     for token in _TOKEN.finditer(page):
         if token.start() > at:
             yield "text", page[at : token.start()], stack[-1]
@@ -115,7 +154,7 @@ def walk(page: str) -> Iterator[tuple[str, Element | str, Element]]:
                 yield "end", Element(name, stack[-1].path, False, False), stack[-1]
             continue
         _close_implied(name, stack)
-        element = opened(name, token["attributes"], stack[-1])
+        element = opened(name, token["attributes"], stack[-1], token.start() in holding)
         yield "tag", element, stack[-1]
         if name not in VOID and not token["attributes"].endswith("/"):
             stack.append(element)

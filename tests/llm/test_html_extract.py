@@ -95,3 +95,19 @@ def test_classes_are_nested(frame):
 
 def test_empty(frame):
     assert H.extract(frame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("attributes", [
+    "div class='content-sidebar-wrap'", "div class='main with-sidebar'", "div class='has-header'", "section class='no-comments'",
+    "main class='widget'", "article class='post no-comments'", "article class='teaser'",
+])
+def test_names_do_not_drop_the_article(attributes):
+    page = f"<body><{attributes}><p>The text.</p></{attributes.split()[0]}></body>"
+    assert H.main_text(page) == "The text."
+
+
+def test_a_named_wrapper_of_the_article_stays_and_named_parts_go():
+    page = """<body><div class="sidebar"><div id="site-header">Top</div><main><article class="post"><p>The text.</p></article>
+    <div id="comments" class="comments-area"><article class="comment-body"><p>Me too</p></article></div></main>
+    <div class="sidebar-1">Side</div><div class="cookie-banner">Cookies</div></div></body>"""
+    assert H.main_text(page) == "The text."
