@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from provender.llm import chat, decontaminate, html_extract, lm_score, mixing, quality, simhash, token_counts, topk, url_filter
+from provender.llm import chat, decontaminate, html_extract, lm_score, mixing, packing, quality, simhash, token_counts, topk, url_filter
 from provender.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bin_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts,
     op2_html_extraction,
@@ -63,6 +67,7 @@ QUERIES = {f.__name__: f for f in (
     op8_decontamination,
     op9_top_k,
     op10_quality,
+    op11_bin_packing,
 )}
 
 ORACLES = {
