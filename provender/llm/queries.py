@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from provender.llm import chat, decontaminate, html_extract, lm_score, mixing, packing, quality, simhash, token_counts, topk, url_filter
+from provender.llm import chat, decontaminate, html_extract, lm_score, mixing, packing, quality, simhash, token_counts, topk, url_filter, whitening
 from provender.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_bin_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts,
     op2_html_extraction,
@@ -68,6 +72,7 @@ QUERIES = {f.__name__: f for f in (
     op9_top_k,
     op10_quality,
     op11_bin_packing,
+    op12_whitening,
 )}
 
 ORACLES = {
