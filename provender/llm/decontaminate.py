@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.common import cut, long_texts, text_of
+from provender.llm.common import cut, free_name, long_texts, text_of
 
 #: Words of items in one automaton; more items go into further automata and passes. An automaton
 #: of this size takes at most some hundred MB in a worker.
@@ -288,20 +288,37 @@ def contamination_report(df: DataFrame, items: DataFrame, id_col: str = "doc_id"
     )
 
 
-def remove_spans(df: DataFrame, items: DataFrame, text_col: str = "text", window: int = 13) -> DataFrame:
+def remove_spans(
+    df: DataFrame, items: DataFrame, text_col: str = "text", window: int = 13, length_col: str | None = None
+) -> DataFrame:
     """The columns of ``df`` with the hit words cut out of contaminated texts.
 
     What stood between two words that stay is kept as it was; where a span is cut, one space
-    stands. A text whose every word is hit becomes empty. Clean documents are left alone.
+    stands. A text whose every word is hit becomes empty. Clean documents are left alone, null texts
+    stay null, and repeated rows stay. ``length_col`` names a column with the texts' lengths in
+    characters; it is set anew where a text was cut. Columns of ``df`` may have any names.
     """
-    scanned = contamination(df, items, text_col, window=window)
+    others = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    packed = df.select(F.struct(F.lit(0).alias(free_name(df, "_")), *others).alias("row"), F.col(text_col).alias("text"))
+    scanned = contamination(packed, items, "text", window=window)
 
     @F.pandas_udf("string")
     def trimmed(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, [(s["begin"], s["end"]) for s in x]) for t, x in zip(texts, spans, strict=True)])
 
-    text = F.when(is_contaminated(), trimmed(text_of(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    return scanned.withColumn(text_col, text).select(*df.columns)
+    text = F.when(is_contaminated(), trimmed(text_of("text"), F.col("_spans"))).otherwise(F.col("text"))
+    cut_texts = scanned.select("row", is_contaminated().alias("hit"), text.alias("text"))
+
+    def column(name: str) -> Column:
+        kind = df.schema[name].dataType
+        if name == text_col:
+            return F.col("text").cast(kind).alias(name)
+        same = F.col("row").getField(name)
+        if name == length_col:
+            return F.when(F.col("hit"), F.length("text").cast(kind)).otherwise(same).alias(name)
+        return same.alias(name)
+
+    return cut_texts.select(*map(column, df.columns))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provender.llm.common import free_name
+
 #: Rates above this are drawn as a sum of equal parts, so that exp(-rate) stays exact enough.
 PART_RATE = 16
 #: More terms than a distribution of mean PART_RATE can need at the resolution of the points.
@@ -76,7 +78,8 @@ def mix(
 
     ``weights`` maps source to its target weight (sources not named get none); without it a
     source's weight is its size to the power ``exponent``. ``total`` is the expected number of
-    rows out, by default that of ``df``. Input columns named like the two new ones are replaced.
+    rows out, by default that of ``df``. Input columns named like the two new ones are replaced;
+    other names are free, and may be any.
 
     A null source is a source of its own, a null id hashes as the empty text, and rows with equal
     ids draw the same number and all stay. If every weight is 0 or the table is empty, the result
@@ -87,22 +90,24 @@ def mix(
     known = rates(df, source_col, weights, exponent, total)
     if known.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    names = [c for c in df.columns if c not in ("copy_no", "shuffle_key")]
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART_RATE)).cast("int")
+    names = [c for c in df.columns if c.lower() not in ("copy_no", "shuffle_key")]
+    source, rate, drawn_copies = (free_name(df, n) for n in ("_source", "_rate", "_copies"))
+    known = known.toDF(source, rate)
+    parts = F.greatest(F.lit(1), F.ceil(F.col(rate) / PART_RATE)).cast("int")
     drawn = F.aggregate(
         F.sequence(F.lit(1), parts),
         F.lit(0),
         lambda sum_, part: sum_
         + poisson_at(
             hashed_point(str(seed), identity, part.cast("string")),
-            F.col("_rate") / parts.cast("double"),
+            F.col(rate) / parts.cast("double"),
         ),
     )
-    joined = df.select(*names).join(known, F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = joined.withColumn("_copies", drawn).where("_copies > 0")
+    joined = df.select(*names).join(known, F.col(source_col).eqNullSafe(F.col(source)))
+    copies = joined.withColumn(drawn_copies, drawn).where(F.col(drawn_copies) > 0)
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}"), identity, F.col("copy_no").cast("string"), F.lit("order")))
     return (
-        copies.select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
+        copies.select(*names, F.explode(F.sequence(F.lit(1), F.col(drawn_copies))).alias("copy_no"))
         .withColumn("shuffle_key", key)
         .repartition(F.col("shuffle_key"))
         .sortWithinPartitions("shuffle_key")

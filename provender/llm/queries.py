@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from provender.llm import chat, decontaminate, html_extract, lm_score, mixing, packing, quality, simhash, token_counts, topk, url_filter, whitening
+from provender.llm import chat, decontaminate, html_extract, lexical, lm_score, mixing, packing, quality, simhash, token_counts, topk, url_filter, whitening
 from provender.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts,
     op2_html_extraction,
@@ -73,10 +77,12 @@ QUERIES = {f.__name__: f for f in (
     op10_quality,
     op11_bin_packing,
     op12_whitening,
+    op13_lexical_search,
 )}
 
 ORACLES = {
     "op6_mixing": mixing.mix_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
     "op7_chat_formatting": chat.rotate_sql("conversations"),
     "op9_top_k": topk.top_k_sql("embeddings"),
+    "op13_lexical_search": lexical.search_sql("benchmark", "documents"),
 }

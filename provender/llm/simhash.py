@@ -235,30 +235,29 @@ def components_of(hashed: DataFrame, least: Column, classes_of=classes) -> DataF
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """The rows of ``df`` with one of each component: that with the smallest id (null last), then
-    the smallest hash of its text. Rows equal in both are exact repetitions; one stays."""
+    the smallest hash of its text. Rows equal in both are exact repetitions; one stays. Null and empty
+    texts are one component. Columns of ``df`` may have any names."""
     long_texts(df.sparkSession)
-    keyed = df.withColumn("_text", F.xxhash64(text_of(text_col)))
+    text_hash = F.xxhash64(text_of(text_col))
     hashed = cut(
-        keyed.select(F.col(id_col).alias("_id"), "_text", fingerprint_column(text_of(text_col), size).alias("fp"))
+        df.select(
+            F.col(id_col).alias("_id"), text_hash.alias("_text"), fingerprint_column(text_of(text_col), size).alias("fp")
+        )
     )
-    return kept_rows(df, keyed, hashed, id_col, lambda least: components_of(hashed, least))
-
-
-def kept_rows(df: DataFrame, keyed: DataFrame, hashed: DataFrame, id_col: str, components_by) -> DataFrame:
-    """The rows of ``df`` that come first in their component. ``keyed`` is ``df`` with ``_text``, the
-    hash of the text, ``hashed`` has ``_id, _text, fp``; ``components_by`` gives ``components_of``."""
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text").alias("text"))
-    kept = (
+    kept = cut(
         hashed.select("fp", order.alias("_order"))
-        .join(components_by(F.min(order)), "fp")
+        .join(components_of(hashed, F.min(order)), "fp")
         .where(F.col("_order") == F.col("_of"))
         .groupBy("_of")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(F.col("_of.id").alias("_id"), F.col("_of.text").alias("_hash"), "_n")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("_of.id").alias("kept_id"), F.col("_of.text").alias("kept_hash"), "n")
+    )
+    rows = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), text_hash.alias("hash")
     )
-    kept = cut(kept)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    result = keyed.join(kept.select("_id", "_hash"), same, "left_semi")
-    if not kept.where("_n > 1").isEmpty():
-        result = result.dropDuplicates([id_col, "_text"])
-    return result.select(*df.columns)
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    result = rows.join(kept.select("kept_id", "kept_hash"), same, "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        result = result.dropDuplicates(["id", "hash"])
+    return result.select("row.*")

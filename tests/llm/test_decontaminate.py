@@ -101,3 +101,14 @@ def test_without_keeps_other_words(text, data):
     if begin < end:
         assert D.words_of(D.without(text, [(begin, end)])) == w[:begin] + w[end:]
     assert D.without(text, []) == text
+
+
+def test_columns_of_any_name_and_lengths_after_cuts(spark, frame):
+    item = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, f"before {item} after", "s", "i", 2, "f", 99, "_", 5), (2, "clean text", "s", "i", 2, "f", 10, "_", 5), (3, None, "s", "i", 2, "f", None, "_", 5)]
+    ddl = "doc_id long, text string, _spans string, _items string, _n_words int, _found string, n_chars long, _ string, row int"
+    items = frame([("q", item)], "item_id string, text string")
+    table = frame(rows, ddl)
+    found = D.remove_spans(table, items, length_col="n_chars")
+    assert found.columns == table.columns
+    assert sorted(map(tuple, found.collect())) == [(1, "before   after", *rows[0][2:6], 14, "_", 5), *rows[1:]]

@@ -52,3 +52,12 @@ def test_large_source_tables_are_joined(frame, monkeypatch):
     want = sorted(map(str, M.mix(df).collect()))
     monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
     assert sorted(map(str, M.mix(df).collect())) == want
+
+
+def test_names_inside_do_not_clash(spark, frame):
+    plain = frame([(i, "t", "s") for i in range(60)], "doc_id long, text string, source string")
+    odd = plain.selectExpr("*", "'a' AS _source", "'b' AS _rate", "7 AS _copies", "8 AS Copy_No", "'x' AS shuffle_key")
+    mixed = M.mix(odd).collect()
+    assert {(r["_source"], r["_rate"], r["_copies"]) for r in mixed} == {("a", "b", 7)}
+    want = {(r["doc_id"], r["copy_no"]) for r in M.mix(plain).collect()}
+    assert {(r["doc_id"], r["copy_no"]) for r in mixed} == want

@@ -141,3 +141,12 @@ def test_empty(frame):
 def test_forest_connects_the_same():
     pairs = np.array([[1, 2], [2, 3], [1, 3], [7, 8], [8, 7]])
     assert len(H._forest(pairs)) == 3
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark, frame):
+    rows = [(1, "one two three four", "a", 5, "h", 1, "r"), (2, "one two three four", "b", 6, "h", 2, "r"),
+            (3, "something else that differs", "c", 7, "h", 3, "r"), (3, "something else that differs", "c", 7, "h", 3, "r")]
+    table = frame(rows, "doc_id long, text string, _text string, _id int, _hash string, id int, row string")
+    kept = H.one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
