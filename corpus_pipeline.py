@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provender.llm import decontaminate, mixing, quality, shingles
+from provender.llm import decontaminate, mixing, quality, simhash
 from provender.llm.common import table, with_checkpoints
 
 
@@ -21,14 +21,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8 or more):
-    the one with the smallest id."""
-    return shingles.one_of_each(docs)
+    """One document of each SimHash component (three-word shingles, three bits or fewer): the one
+    with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of contaminated documents; those with no word left go."""
-    trimmed = decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"))
+    trimmed = decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"), length_col="n_chars")
     return trimmed.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
 
 
@@ -39,9 +39,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("near-duplicates", near_dedup_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
 ]
 
 #: Shingle sets, automata and perplexities are beyond SQL; tests check each stage by brute force.
