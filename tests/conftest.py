@@ -6,9 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-SF_DIR = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
@@ -26,6 +23,11 @@ def spark(tmp_path_factory):
     yield session
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    return "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="session")
 def rules():
     from provender.rules.ruleset import RuleSet

@@ -201,10 +201,8 @@ def test_decoder_from_tables_is_bounded(spark, monkeypatch):
         decode.Decoder.from_tables(index, index, index)
 
 
-def test_score_slices_fit_the_vectors(spark):
-    from conftest import SF_DIR
-
-    rows = scores.vectors(spark, SF_DIR).select(
+def test_score_slices_fit_the_vectors(spark, sf_dir):
+    rows = scores.vectors(spark, sf_dir).select(
         *[F.size(c).alias(h) for h, c in scores.score_columns().items()]
     )
     sizes = rows.distinct().collect()

@@ -7,7 +7,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF_DIR
 from provender import schema as S
 from provender.operators import dataset, report
 from provender.operators.clean import clean_rows
@@ -37,13 +36,13 @@ def test_filters_do_not_repeat_the_fold(make_rows):
 
 
 @pytest.mark.parametrize("name", ["normalize_names", "value_counts", "token_clean", "decoders"])
-def test_no_python_in_plans(spark, name):
-    plan = _plan(QUERIES[name](spark, SF_DIR))
+def test_no_python_in_plans(spark, sf_dir, name):
+    plan = _plan(QUERIES[name](spark, sf_dir))
     assert "Python" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
 
 
-def test_scan_reads_only_the_keys(spark):
-    plan = _plan(purchases.raw_purchases(spark, SF_DIR))
+def test_scan_reads_only_the_keys(spark, sf_dir):
+    plan = _plan(purchases.raw_purchases(spark, sf_dir))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     line = next(s for s in schemas if "l_orderkey" in s)
     assert set(c.split(":")[0] for c in line.split(",")) == set(purchases.LINE_KEYS)
@@ -63,14 +62,14 @@ def test_every_query_but_the_classifiers_has_sql():
 
 
 @pytest.mark.parametrize("name", ["head_metrics", "mean_metrics", "multilabel_metrics"])
-def test_metrics_read_their_input_once(spark, name):
-    plan = _plan(QUERIES[name](spark, SF_DIR))
+def test_metrics_read_their_input_once(spark, sf_dir, name):
+    plan = _plan(QUERIES[name](spark, sf_dir))
     assert len(re.findall(r"Scan parquet", plan.split("(1)")[0])) <= 4
     assert plan.count("lineitem.parquet") == 1 and "NestedLoop" not in plan
 
 
-def test_multi_hot_is_narrow(spark):
-    plan = _plan(QUERIES["multi_hot"](spark, SF_DIR))
+def test_multi_hot_is_narrow(spark, sf_dir):
+    plan = _plan(QUERIES["multi_hot"](spark, sf_dir))
     assert "SortMergeJoin" not in plan and "Expand" not in plan
 
 
