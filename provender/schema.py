@@ -90,4 +90,4 @@ NO_LABEL = "None"
 
 def quoted(name: str) -> str:
     """The name as a column reference that is safe for names such as ``Sub-Type 1``."""
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"

@@ -5,13 +5,14 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provender import schema as S
 from provender.errors import DataError
 from provender.functions.partitions import spread
+from provender.sources import quoted_csv
 
 logger = logging.getLogger("provender")
 
@@ -67,6 +68,24 @@ def place_in_files() -> Column:
     )
 
 
+def read_parquet(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
+    """Parquet files, with the rows' numbers from 0, files in order of their paths.
+
+    Parquet knows a row's place in its file; what comes before a file is a sum over a table of files,
+    a list that the driver holds in any case.
+    """
+    df = spark.read.parquet(path)
+    if ordinal is None:
+        return df
+    files = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    return placed.join(F.broadcast(before), F.col("_path") == F.col("_file")).select(
+        *[F.col(S.quoted(c)) for c in df.columns], (F.col("_before") + F.col("_at")).alias(ordinal)
+    )
+
+
 def prefer_normalized_product_type(df: DataFrame) -> DataFrame:
     """``Normalized Product Type``, where there is one, replaces ``Product Type``."""
     if NORMALIZED_PRODUCT_TYPE not in df.columns:
@@ -83,34 +102,32 @@ def read_table(
     """A CSV or Parquet table, every column a string, missing text as null.
 
     ``numbered`` adds ``row_id``, the row's place in the files. ``line_breaks`` says that CSV fields
-    may hold line breaks; then a file can only be read by one task, from which its rows are spread
-    over the cluster. Without them large files are split when they are read.
+    may hold line breaks; then files are read in blocks with a pass that finds the records in them.
+    Without them Spark's reader can split files at any line.
     """
     if not path_exists(spark, path):
         raise DataError(f"could not find input file {path}")
-    if format_of(path) == "csv":
-        df = (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("multiLine", line_breaks)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .csv(path)
-        )
+    ordinal = S.ROW_ID if numbered else None
+    if format_of(path) == "parquet":
+        df = read_parquet(spark, path, ordinal)
+    elif line_breaks:
+        df = quoted_csv.read(spark, path, ordinal)
     else:
-        df = spark.read.parquet(path)
+        options = {**quoted_csv.OPTIONS, "multiLine": False}
+        df = spark.read.options(header=True, inferSchema=False, **options).csv(path)
+        if numbered:
+            df = df.select("*", place_in_files().alias(S.ROW_ID))
+    names = [c for c in df.columns if c != ordinal]
     strings = df.select(
         *[
-            F.col(S.quoted(f.name))
-            if isinstance(f.dataType, T.StringType)
-            else F.col(S.quoted(f.name)).cast("string").alias(f.name)
-            for f in df.schema.fields
+            F.col(S.quoted(c))
+            if isinstance(df.schema[c].dataType, T.StringType)
+            else F.col(S.quoted(c)).cast("string").alias(c)
+            for c in names
         ],
-        *([place_in_files().alias(S.ROW_ID)] if numbered else []),
+        *([S.ROW_ID] if numbered else []),
     )
-    return spread(missing_to_null(strings, df.columns))
+    return spread(missing_to_null(strings, names))
 
 
 def read_purchases(
