@@ -290,8 +290,8 @@ class _Fold:
         )
 
 
-def fold_name(name: Column, group: Column, category: Column, primary: Column, rules: RuleSet):
-    """The state of a row after all its tokens."""
+def fold_tokens(tokens: Column, group: Column, category: Column, primary: Column, rules: RuleSet):
+    """The state of a row after all its resolved tokens."""
     # Meals are tagged by their primary category.
     gate = F.when(category == "Meals", primary).otherwise(category)
 
@@ -302,20 +302,24 @@ def fold_name(name: Column, group: Column, category: Column, primary: Column, ru
         start = let(tokens.getItem(0), lambda first: initial_state(first, rules))
         return F.aggregate(rest, start, fold.step)
 
-    return let(split_tokens(name, rules), run)
+    return let(tokens, run)
 
 
-def row_state(rules: RuleSet) -> Column:
-    """The state of each row, by its route: non-food, product-type override, or fold."""
+def row_state(rules: RuleSet, tokens: str | None = None) -> Column:
+    """The state of each row, by its route: non-food, product-type override, or fold.
+
+    ``tokens`` names a column with tokens that have been resolved already."""
     # Expressions live in the JVM they were built in, which an application has for itself.
     application = SparkContext.getOrCreate().applicationId
-    if application not in rules.compiled:
-        rules.compiled.clear()
-        rules.compiled[application] = _row_state(rules)
-    return rules.compiled[application]
+    key = (application, tokens)
+    if key not in rules.compiled:
+        for old in [k for k in rules.compiled if k[0] != application]:
+            del rules.compiled[old]
+        rules.compiled[key] = _row_state(rules, tokens)
+    return rules.compiled[key]
 
 
-def _row_state(rules: RuleSet) -> Column:
+def _row_state(rules: RuleSet, tokens: str | None) -> Column:
     product_type, name = F.col(S.quoted(S.PRODUCT_TYPE)), F.col(S.quoted(S.PRODUCT_NAME))
     group, category, primary = (F.col(S.quoted(c)) for c in S.CATEGORY_LABELS)
     overrides = {k: _state_literal(v, "override") for k, v in rules.overrides.items()}
@@ -326,7 +330,8 @@ def _row_state(rules: RuleSet) -> Column:
             product_type.isin(list(overrides)),
             lookup(product_type, overrides, _STATE_DDL),
         )
-    return state.otherwise(fold_name(name, group, category, primary, rules))
+    resolved = split_tokens(name, rules) if tokens is None else F.col(S.quoted(tokens))
+    return state.otherwise(fold_tokens(resolved, group, category, primary, rules))
 
 
 # --- after the fold ------------------------------------------------------------------------------
@@ -433,13 +438,13 @@ def combined_name(columns: list[str]) -> Column:
     return F.concat_ws(", ", *[F.col(S.quoted(c)) for c in columns])
 
 
-def normalize_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
+def normalize_rows(df: DataFrame, rules: RuleSet, tokens: str | None = None) -> DataFrame:
     """Normalize cleaned purchase rows; see :func:`normalize`."""
-    taken = {*S.NORMALIZED_COLUMNS, S.SUB_TYPES, S.MISC, S.NORMALIZED_NAME}
+    taken = {*S.NORMALIZED_COLUMNS, S.SUB_TYPES, S.MISC, S.NORMALIZED_NAME, tokens}
     kept = [c for c in df.columns if c not in taken]
     # ``inline`` of a one-element array computes the state once per row. A struct column would be
     # computed again by every filter that Spark pushes below the projection.
-    state = df.select(*[F.col(S.quoted(c)) for c in kept], F.inline(F.array(row_state(rules))))
+    state = df.select(*[F.col(S.quoted(c)) for c in kept], F.inline(F.array(row_state(rules, tokens))))
     state = state.withColumns(
         {
             title: F.coalesce(F.col(f"cats.{f}"), F.col(S.quoted(title)))
@@ -478,7 +483,11 @@ def normalize_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def normalize(
-    df: DataFrame, rules: RuleSet | None = None, *, distinct_first: bool = False
+    df: DataFrame,
+    rules: RuleSet | None = None,
+    *,
+    distinct_first: bool = False,
+    tokens: str | None = None,
 ) -> DataFrame:
     """Add the 17 normalized columns, ``Sub-Types``, ``Misc`` and ``Normalized Name``.
 
@@ -487,10 +496,15 @@ def normalize(
     ``distinct_first`` normalizes each distinct combination of the group columns once and joins
     the result back. It pays only where names repeat very often and the rule pack is slow: the
     direct way needs no shuffle at all.
+
+    ``tokens`` names a column with the tokens of the names, resolved by ``corrections.with_tokens``, for
+    corrections that are too many for the plan; it is not kept.
     """
     rules = rules or RuleSet.starter()
     if not distinct_first:
-        return normalize_rows(df, rules)
+        return normalize_rows(df, rules, tokens)
+    if tokens is not None:
+        raise RuleError("resolved tokens go with the direct way only")
     keys = df.select(*[F.col(S.quoted(c)) for c in S.GROUP_COLUMNS]).distinct()
     renamed = keys.select("*", *[F.col(S.quoted(c)).alias(f"key {c}") for c in S.GROUP_COLUMNS])
     done = normalize_rows(renamed, rules)

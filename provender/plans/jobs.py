@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from provender import schema as S
 from provender.errors import DataError
 from provender.functions.partitions import spread
-from provender.operators import classify, clean, dataset, decode, report
+from provender.operators import classify, clean, corrections, dataset, decode, report
 from provender.operators.normalize import normalize
-from provender.rules.ruleset import RuleSet
+from provender.rules.ruleset import MAX_TABLE_ROWS, RuleSet
 from provender.sources import readers, writers
 
 logger = logging.getLogger("provender")
@@ -47,18 +47,36 @@ class CleaningOptions:
         return f"{self.clean_folder.rstrip('/')}/{name}"
 
 
-def rules_of(spark: SparkSession, rule_pack: str | None, tag_scoping: str) -> RuleSet:
+def rules_of(
+    spark: SparkSession, rule_pack: str | None, tag_scoping: str, *, with_corrections: bool = True
+) -> RuleSet:
     """The rules of a job. The open word lists of the starter pack are a selection, so it has to
     be asked for by name: a job without a pack would give incomplete results unnoticed."""
     if not rule_pack:
         raise DataError(f"a rule pack is needed: a directory, or {STARTER_PACK!r} for the selection")
     if rule_pack == STARTER_PACK:
         return RuleSet.starter(tag_scoping)
-    return RuleSet.from_directory(spark, rule_pack, tag_scoping)
+    return RuleSet.from_directory(spark, rule_pack, tag_scoping, corrections=with_corrections)
 
 
-def clean_and_normalize(df: DataFrame, rules: RuleSet) -> DataFrame:
-    return normalize(clean.clean_rows(df), rules)
+def large_corrections(spark: SparkSession, rule_pack: str | None) -> DataFrame | None:
+    """The corrections of a pack, closed, if they are too many to travel inside a plan."""
+    path = f"{(rule_pack or '').rstrip('/')}/corrections.csv"
+    if not rule_pack or rule_pack == STARTER_PACK or not readers.path_exists(spark, path):
+        return None
+    rows = spark.read.option("header", True).csv(path)
+    if rows.limit(MAX_TABLE_ROWS + 1).count() <= MAX_TABLE_ROWS:
+        return None
+    return corrections.read(spark, rule_pack)
+
+
+def clean_and_normalize(df: DataFrame, rules: RuleSet, table: DataFrame | None = None) -> DataFrame:
+    """Cleaned and normalized rows; ``table`` has corrections that are not in the rules."""
+    cleaned = clean.clean_rows(df)
+    if table is None:
+        return normalize(cleaned, rules)
+    resolved = corrections.with_tokens(cleaned, S.ROW_ID, S.PRODUCT_NAME, table, "_tokens")
+    return normalize(resolved, rules, tokens="_tokens")
 
 
 def run_cleaning(spark: SparkSession, options: CleaningOptions) -> dict[str, str]:
@@ -67,7 +85,10 @@ def run_cleaning(spark: SparkSession, options: CleaningOptions) -> dict[str, str
     The normalized frame feeds five outputs, so it is persisted; memory first, then disk. With
     output disabled nothing is written at all.
     """
-    rules = rules_of(spark, options.rule_pack, options.tag_scoping)
+    table = large_corrections(spark, options.rule_pack)
+    rules = rules_of(
+        spark, options.rule_pack, options.tag_scoping, with_corrections=table is None
+    )
     raw = readers.read_purchases(
         spark,
         options.raw_data,
@@ -75,7 +96,7 @@ def run_cleaning(spark: SparkSession, options: CleaningOptions) -> dict[str, str
         smoke_test=options.smoke_test,
         line_breaks=options.line_breaks,
     )
-    normalized = clean_and_normalize(raw, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    normalized = clean_and_normalize(raw, rules, table).persist(StorageLevel.MEMORY_AND_DISK)
     folder, write = options.run_path(), options.write_output
     path = writers.output_path
     written = {

@@ -60,6 +60,30 @@ _ORACLE["token_clean"] = f"""{TOKEN_CTES}
 SELECT uid AS "Unique Id", (pos - 1)::INTEGER AS pos, tok AS token
 FROM token JOIN cleaned USING (nid)"""
 
+_ORACLE["token_clean_joined"] = _ORACLE["token_clean"]
+
+_CLOSED = """
+WITH RECURSIVE corrections AS (
+    SELECT 'order ' || o_orderkey AS raw, 'order ' || (o_orderkey // 2) AS clean FROM orders
+    WHERE o_orderkey > 0),
+chain AS (
+    SELECT raw, clean, 0 AS depth FROM corrections
+    UNION ALL
+    SELECT chain.raw, next.clean, depth + 1 FROM chain JOIN corrections next ON chain.clean = next.raw),
+closed AS (SELECT raw, arg_max(clean, depth) AS clean FROM chain GROUP BY raw)"""
+
+_ORACLE["corrections_closed"] = f"{_CLOSED} SELECT raw, clean FROM closed"
+
+_ORACLE["token_clean_orders"] = f"""{_CLOSED}
+SELECT l_orderkey || '-' || l_linenumber AS line,
+       coalesce(clean, 'order ' || l_orderkey) || '|part ' || l_partkey AS tokens
+FROM lineitem LEFT JOIN closed ON raw = 'order ' || l_orderkey"""
+
+_ORACLE["quoted_csv_rows"] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, '"' || source || '",' || chr(10) || '"' || text AS remark, lang,
+       row_number() OVER (ORDER BY doc_id) - 1 AS ordinal
+FROM documents"""
+
 _ORACLE["type_map_first"] = f"""{TOKEN_CTES}
 SELECT uid AS "Unique Id", coalesce(m.bt, tok) AS "Basic Type",
        coalesce(array_to_string(m.st, '|'), '') AS "Sub-Types", m.c1 AS "Shape",
@@ -73,6 +97,7 @@ FROM token LEFT JOIN {_table} g ON g.fpc = tagcat AND g.tag = tok GROUP BY ALL""
 
 _ORACLE["normalize_names"] = f"{FULL_CTES} SELECT {_FULL_ROW} FROM named"
 _ORACLE["normalize_distinct_first"] = _ORACLE["normalize_names"]
+_ORACLE["normalize_joined"] = _ORACLE["normalize_names"]
 _ORACLE["normalize_isolated"] = f"{_ISOLATED} SELECT {_FULL_ROW} FROM named"
 _ORACLE["normalize_override"] = f"""{FULL_CTES}
 SELECT {_FULL_ROW} FROM named WHERE route = 'override'"""

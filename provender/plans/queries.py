@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.functions.expressions import broadcast_if_small, let
-from provender.operators import bayes, classify, clean, dataset, decode, metrics, report
+from provender.functions.shared import new_path
+from provender.operators import bayes, classify, clean, corrections, dataset, decode, metrics, report
 from provender.operators import normalize as N
 from provender.plans import purchases as P
 from provender.plans import scores
 from provender.rules.ruleset import RuleSet
-from provender.sources import readers
+from provender.sources import quoted_csv, readers
 
 
 @cache
@@ -42,6 +43,18 @@ def _text(name: str):
 # --- sources and cleaning ------------------------------------------------------------------------
 
 
+def q_quoted_csv_rows(spark, sf):
+    """Documents written as CSV, with line breaks and quotes inside fields, and read back in blocks.
+
+    Files and rows in them are in the order of the ids, so ordinals are those of the sorted table."""
+    remark = F.concat(F.lit('"'), F.col("source"), F.lit('",\n"'), F.col("text"))
+    docs = P.read(spark, sf, "documents").select("doc_id", remark.alias("remark"), "lang")
+    path = new_path(spark, "documents.csv")
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.write.options(header=True, quote='"', escape='"').csv(path)
+    return quoted_csv.read(spark, path, "ordinal")
+
+
 def q_load_purchases(spark, sf):
     return P.loaded_purchases(spark, sf).select(
         "Unique Id", "Origin Detail", *_cols(S.GROUP_COLUMNS)
@@ -98,6 +111,54 @@ def q_token_clean(spark, sf):
     return tokens.select("Unique Id", F.posexplode("tokens").alias("pos", "token"))
 
 
+def starter_corrections(spark: SparkSession) -> DataFrame:
+    """The corrections of the starter pack as a table."""
+    return spark.createDataFrame(list(rules().corrections.items()), "raw string, clean string")
+
+
+def q_token_clean_joined(spark, sf):
+    """The same as ``token_clean`` with the corrections as a table of any size, by joins."""
+    rows = _folded(spark, sf).select("Unique Id", S.quoted(S.PRODUCT_NAME))
+    table = corrections.closed(starter_corrections(spark))
+    tokens = corrections.with_tokens(rows, "Unique Id", S.PRODUCT_NAME, table)
+    return tokens.select("Unique Id", F.posexplode("tokens").alias("pos", "token"))
+
+
+def q_normalize_joined(spark, sf):
+    """The same as ``normalize_names`` with the corrections as a table of any size, by joins."""
+    rows = cleaned(spark, sf)
+    table = corrections.closed(starter_corrections(spark))
+    tokens = corrections.with_tokens(rows, "Unique Id", S.PRODUCT_NAME, table, "_tokens")
+    names = N.normalize(tokens, rules().with_rules(corrections={}), tokens="_tokens")
+    return _normalized_columns(names)
+
+
+def order_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of corrections as long as orders: each order's number (from 1) is corrected to its half, so
+    that chains are as long as the numbers let them be."""
+    key = F.col("o_orderkey")
+    return P.read(spark, sf, "orders").where(key > 0).select(
+        F.concat(F.lit("order "), key).alias("raw"),
+        F.concat(F.lit("order "), F.floor(key / 2)).alias("clean"),
+    )
+
+
+def q_corrections_closed(spark, sf):
+    """Chains of corrections followed to their ends, in a table that grows with orders."""
+    return corrections.closed(order_corrections(spark, sf))
+
+
+def q_token_clean_orders(spark, sf):
+    """Tokens of line items' names, corrected by the table that grows with orders."""
+    lines = P.read(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"),
+        F.concat(F.lit(" Order "), F.col("l_orderkey"), F.lit(",part "), F.col("l_partkey")).alias("name"),
+    )
+    table = corrections.closed(order_corrections(spark, sf))
+    tokens = corrections.with_tokens(lines, "line", "name", table)
+    return tokens.select("line", F.array_join("tokens", "|").alias("tokens"))
+
+
 def q_type_map_first(spark, sf):
     first = F.get(F.split(S.quoted(S.PRODUCT_NAME), ",", -1), F.lit(0))
     state = let(

@@ -138,7 +138,12 @@ class RuleSet:
 
     @classmethod
     def from_directory(
-        cls, spark: SparkSession, path: str, tag_scoping: str = "cumulative"
+        cls,
+        spark: SparkSession,
+        path: str,
+        tag_scoping: str = "cumulative",
+        *,
+        corrections: bool = True,
     ) -> "RuleSet":
         """Read a pack from CSV tables with a header, all under one directory.
 
@@ -147,10 +152,13 @@ class RuleSet:
         ``tag_scopes(scope, column, tag)``, ``hierarchy(group, category)``. Several rows with column
         ``Sub-Types`` list the sub-types in order. The conditional rules are lines of JSON in
         ``token_rules.json`` and ``subtype_rules.json``, a rule a line, in order. A table that is
-        not there is the starter's; :meth:`to_directory` writes them all.
+        not there is the starter's; :meth:`to_directory` writes them all. ``corrections=False`` leaves
+        that table out, for names whose tokens are resolved by ``operators.corrections``.
         """
         tables = {
             name: _rule_table(spark, path, name, columns)
+            if corrections or name != "corrections"
+            else None
             for name, columns in {
                 "corrections": ["raw", "clean"],
                 "skipped": ["token"],
@@ -162,7 +170,9 @@ class RuleSet:
             }.items()
         }
         given: dict = {"tag_scoping": tag_scoping}
-        if tables["corrections"] is not None:
+        if not corrections:
+            given["corrections"] = {}
+        elif tables["corrections"] is not None:
             given["corrections"] = dict(tables["corrections"])
         if tables["skipped"] is not None:
             given["skipped"] = [token for (token,) in tables["skipped"]]
