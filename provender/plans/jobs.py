@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from provender import schema as S
 from provender.errors import DataError
 from provender.functions.partitions import spread
-from provender.operators import classify, clean, corrections, dataset, decode, report
+from provender.functions.saved import read_json
+from provender.operators import classify, clean, corrections, dataset, decode, joint, report
 from provender.operators.normalize import normalize
 from provender.rules.ruleset import MAX_TABLE_ROWS, RuleSet
 from provender.sources import readers, writers
@@ -23,6 +24,9 @@ from provender.sources import readers, writers
 logger = logging.getLogger("provender")
 
 STARTER_PACK = "starter"
+#: Models of one head each, or one of all heads.
+ESTIMATORS = (*classify.ESTIMATORS, "joint")
+Classifier = classify.TextClassifier | joint.JointClassifier
 
 
 @dataclass(frozen=True)
@@ -180,26 +184,26 @@ def train_classifier(
     text_column: str = S.PRODUCT_TYPE,
     metric: str = "basic_type_accuracy",
     estimators=("naive_bayes",),
-) -> tuple[classify.TextClassifier, decode.Decoder, DataFrame]:
+) -> tuple[Classifier, decode.Decoder, DataFrame]:
     """Fit the candidates, keep the one with the best metric on the evaluation set."""
+
+    def fitted(kind: str) -> Classifier:
+        if kind == "joint":
+            return joint.JointClassifier.fit(tables.train, labels, text_column=text_column)
+        return classify.TextClassifier.fit(
+            tables.train, labels, text_column=text_column, estimator=kind
+        )
+
     decoder = tables.decoder(rules)
     labels = {h: v for h, v in decoder.labels.items() if v}
-    candidates = [
-        (
-            kind,
-            classify.TextClassifier.fit(
-                tables.train, labels, text_column=text_column, estimator=kind
-            ),
-        )
-        for kind in estimators
-    ]
+    candidates = [(kind, fitted(kind)) for kind in estimators]
     _, best, metrics = classify.choose(candidates, tables.evaluation, metric)
     return best, decoder, metrics
 
 
 def classify_table(
     df: DataFrame,
-    classifier: classify.TextClassifier,
+    classifier: Classifier,
     decoder: decode.Decoder,
     *,
     input_column: str = S.PRODUCT_TYPE,
@@ -231,10 +235,12 @@ def save_model(spark: SparkSession, path: str, classifier, decoder: decode.Decod
     decoder.save(spark, f"{path}/decoder")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[classify.TextClassifier, decode.Decoder]:
+def load_model(spark: SparkSession, path: str) -> tuple[Classifier, decode.Decoder]:
     """What :func:`save_model` wrote."""
+    about = read_json(spark, f"{path}/classifier/about")
+    kind = joint.JointClassifier if about.get("kind") == "joint" else classify.TextClassifier
     return (
-        classify.TextClassifier.load(spark, f"{path}/classifier"),
+        kind.load(spark, f"{path}/classifier"),
         decode.Decoder.load(spark, f"{path}/decoder"),
     )
 
@@ -326,7 +332,7 @@ def train_parser() -> argparse.ArgumentParser:
     parser.add_argument("--model_folder", required=True)
     parser.add_argument("--rule_pack", required=True)
     parser.add_argument("--metric", choices=classify.CHOICE_METRICS, default=classify.CHOICE_METRICS[0])
-    parser.add_argument("--estimators", nargs="+", choices=classify.ESTIMATORS, default=["naive_bayes"])
+    parser.add_argument("--estimators", nargs="+", choices=ESTIMATORS, default=["naive_bayes"])
     parser.add_argument("--smoke_test", action="store_true")
     return parser
 

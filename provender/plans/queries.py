@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from provender import schema as S
 from provender.functions.expressions import broadcast_if_small, let
 from provender.functions.shared import new_path
-from provender.operators import bayes, classify, clean, corrections, dataset, decode, metrics, report
+from provender.operators import bayes, classify, clean, corrections, dataset, decode, joint, metrics, report
 from provender.operators import normalize as N
 from provender.plans import purchases as P
 from provender.plans import scores
@@ -596,6 +596,23 @@ def q_category_classifier(spark, sf):
                         F.round("mean_f1_score", 6).alias("mean_f1_score"))
 
 
+def q_joint_classifier(spark, sf):
+    """All heads of purchases learnt together and apart, compared on texts that neither has seen."""
+    rows = training(spark, sf).persist()
+    part = _evaluation_part(S.PRODUCT_TYPE)
+    index = dataset.label_index(dataset.class_counts(rows))
+    found = classify.labels_of(index)
+    labels = {h: found[h] for h in (S.FPG, S.FPC, S.PFPC, S.BASIC_TYPE, S.SUB_TYPES)}
+    train = rows.filter(~part)
+    candidates = [
+        ("apart", classify.TextClassifier.fit(train, labels, num_features=1 << 13)),
+        ("joint", joint.JointClassifier.fit(train, labels)),
+    ]
+    _, _, table = classify.choose(candidates, rows.filter(part), "mean_f1_score")
+    return table.select("model", F.round("mean_accuracy", 6).alias("mean_accuracy"),
+                        F.round("mean_f1_score", 6).alias("mean_f1_score"))
+
+
 QUERIES = {
     name[2:]: function for name, function in list(globals().items()) if name.startswith("q_")
 }
