@@ -592,4 +592,8 @@ scored AS (
 SELECT doc_id, label, round(score, 4) AS score FROM scored
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"""
 
+for _name in ("masked_argmax", "consistency_assert", "order_subtypes"):
+    _ORACLE[f"{_name}_long"] = _ORACLE[_name]
+_ORACLE["mask_bitmaps"] = _ORACLE["mask_vectors"]
+
 ORACLES = dict(_ORACLE)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from provender import schema as S
 from provender.functions.expressions import broadcast_if_small, let
 from provender.functions.shared import new_path
-from provender.operators import bayes, classify, clean, corrections, dataset, decode, joint, metrics, report
+from provender.operators import bayes, classify, clean, corrections, dataset, decode, joint, long_decode, metrics, report
 from provender.operators import normalize as N
 from provender.plans import purchases as P
 from provender.plans import scores
@@ -419,6 +419,41 @@ def q_masked_argmax(spark, sf):
     )
 
 
+def _decoded_long(spark, sf, **options):
+    tables = scores.label_tables(spark)
+    rows = scores.long_scores(spark, sf)
+    return long_decode.decode_long(rows, **tables, id_column="vec_id", **options)
+
+
+def q_masked_argmax_long(spark, sf):
+    """The same as ``masked_argmax`` from scores in long form, masks as bitmaps."""
+    return _decoded_long(spark, sf, confidence=True).select(
+        "vec_id", *_cols([S.FPG, S.BASIC_TYPE]), F.round(S.quoted(f"{S.BASIC_TYPE}_score"), 6).alias("score")
+    )
+
+
+def q_consistency_assert_long(spark, sf):
+    return _decoded_long(spark, sf, assertion=True).select("vec_id", *_cols(S.CATEGORY_LABELS))
+
+
+def q_order_subtypes_long(spark, sf):
+    return _decoded_long(spark, sf).select("vec_id", *_cols(S.SUB_TYPE_COLUMNS))
+
+
+def q_mask_bitmaps(spark, sf):
+    """The masks of ``mask_vectors`` as bitmaps, written out bit by bit."""
+    rows = training(spark, sf).select(*_cols([S.PRODUCT_TYPE, *S.LABELS])).persist()
+    index = dataset.label_index(dataset.class_counts(rows)).persist()
+    bitmaps = long_decode.mask_bitmaps(dataset.inference_masks(rows), index)
+    types = index.filter(F.col("column") == S.BASIC_TYPE).select("index")
+    bits = bitmaps.join(types, F.floor(F.col("index") / long_decode.BITMAP) == F.col("bucket"))
+    bit = long_decode.has_bit(F.col("bits"), F.col("index")).cast("int").cast("string")
+    ordered = F.array_sort(F.collect_list(F.struct("index", bit.alias("bit"))))
+    return bits.groupBy(F.col("group").alias(S.FPG)).agg(
+        F.array_join(F.transform(ordered, lambda x: x["bit"]), "").alias("mask")
+    )
+
+
 def q_masked_argmax_trained(spark, sf):
     """Masked basic types with the labels and masks that the training tables give, by joins."""
     rows = training(spark, sf).select(*_cols([S.PRODUCT_TYPE, *S.LABELS])).persist()

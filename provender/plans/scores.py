@@ -61,6 +61,32 @@ def decoder() -> Decoder:
     )
 
 
+def label_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """The decoder's labels, masks, counts and tags as the tables that training gives."""
+    known = decoder()
+    rows = [(h, label, i) for h, labels in known.labels.items() for i, label in enumerate(labels)]
+    return {
+        "index": spark.createDataFrame(rows, "column string, label string, index int"),
+        "masks": spark.createDataFrame(
+            [(g, t) for g, types in known.masks.items() for t in types], f"`{S.FPG}` string, `{S.BASIC_TYPE}` string"
+        ),
+        "counts": spark.createDataFrame(
+            [(c, label, n) for c, table in SUB_TYPE_COUNTS.items() for label, n in table.items()],
+            "column string, label string, count long",
+        ),
+        "tags": spark.createDataFrame([(t,) for t in known.tags], "label string"),
+    }
+
+
+def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, head, index, score``: the scores of all heads, a row each."""
+    each = F.explode(
+        F.array(*[F.struct(F.lit(h).alias("head"), c.alias("scores")) for h, c in score_columns().items()])
+    )
+    rows = vectors(spark, sf_dir).select("vec_id", each.alias("s"))
+    return rows.select("vec_id", "s.head", F.posexplode("s.scores").alias("index", "score"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")
