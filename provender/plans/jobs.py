@@ -86,8 +86,8 @@ def clean_and_normalize(df: DataFrame, rules: RuleSet, table: DataFrame | None =
 def run_cleaning(spark: SparkSession, options: CleaningOptions) -> dict[str, str]:
     """Read, clean, normalize and write all reports. Returns the written paths.
 
-    The normalized frame feeds five outputs, so it is persisted; memory first, then disk. With
-    output disabled nothing is written at all.
+    The normalized frame feeds five outputs, so it is persisted; memory first, then disk. The
+    outputs appear together. With output disabled nothing is written at all.
     """
     table = large_corrections(spark, options.rule_pack)
     rules = rules_of(
@@ -101,9 +101,19 @@ def run_cleaning(spark: SparkSession, options: CleaningOptions) -> dict[str, str
         line_breaks=options.line_breaks,
     )
     normalized = clean_and_normalize(raw, rules, table).persist(StorageLevel.MEMORY_AND_DISK)
-    folder, write = options.run_path(), options.write_output
-    path = writers.output_path
-    written = {
+    folder = options.run_path()
+    if options.write_output:
+        with writers.together(spark, folder) as staging:
+            written = _write_reports(normalized, staging, options)
+    else:
+        written = _write_reports(normalized, folder, options)
+    normalized.unpersist()
+    return {what: f"{folder}/{path.rsplit('/', 1)[-1]}" for what, path in written.items()}
+
+
+def _write_reports(normalized: DataFrame, folder: str, options: CleaningOptions) -> dict[str, str]:
+    path, write = writers.output_path, options.write_output
+    return {
         "normalized": writers.write_table(
             report.normalized_export(normalized),
             path(folder, options.clean_file, options.input_file),
@@ -122,8 +132,6 @@ def run_cleaning(spark: SparkSession, options: CleaningOptions) -> dict[str, str
             report.count_sheets(report.value_counts(normalized)), folder, write=write
         ),
     }
-    normalized.unpersist()
-    return written
 
 
 def run_group_fill(

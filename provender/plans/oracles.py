@@ -592,6 +592,14 @@ scored AS (
 SELECT doc_id, label, round(score, 4) AS score FROM scored
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"""
 
+_ORACLE["written_counts"] = f"""{_LONG}
+SELECT replace("column", '/', '_') AS "column", nullif(value, '') AS value, count(*) AS count FROM long GROUP BY ALL"""
+
+_MISSING = ", ".join("'" + text.replace("'", "''") + "'" for text in S.MISSING_TEXT)
+_ORACLE["written_export"] = f"""SELECT COLUMNS(*)::VARCHAR FROM (
+SELECT CASE WHEN COLUMNS(*)::VARCHAR NOT IN ({_MISSING}) THEN COLUMNS(*)::VARCHAR END
+FROM ({_ORACLE["normalized_export"]}))"""
+
 for _name in ("masked_argmax", "consistency_assert", "order_subtypes"):
     _ORACLE[f"{_name}_long"] = _ORACLE[_name]
 _ORACLE["mask_bitmaps"] = _ORACLE["mask_vectors"]

@@ -16,7 +16,7 @@ from provender.operators import normalize as N
 from provender.plans import purchases as P
 from provender.plans import scores
 from provender.rules.ruleset import RuleSet
-from provender.sources import quoted_csv, readers
+from provender.sources import quoted_csv, readers, writers
 
 
 @cache
@@ -297,6 +297,28 @@ def q_normalized_export(spark, sf):
     return report.normalized_export(_for_sorting(spark, sf))
 
 
+def q_written_export(spark, sf):
+    """The normalized table written by the job's writer, with misc beside it, and read back."""
+    rows = normalized(spark, sf).persist()
+    folder = new_path(spark, "run")
+    with writers.together(spark, folder) as staging:
+        path = writers.output_path(staging, None, "some purchases.csv")
+        writers.write_table(report.normalized_export(rows), path)
+        writers.write_table(report.misc_overflow(rows), writers.output_path(staging, writers.MISC_FILE))
+    rows.unpersist()
+    return readers.read_table(spark, f"{folder}/{path.rsplit('/', 1)[-1]}")
+
+
+def q_written_counts(spark, sf):
+    """Value counts written one folder a column, and read back."""
+    folder = new_path(spark, "run")
+    with writers.together(spark, folder) as staging:
+        writers.write_counts(report.count_sheets(report.value_counts(normalized(spark, sf))), staging)
+    options = {"header": True, **quoted_csv.OPTIONS}
+    table = spark.read.options(**options).csv(f"{folder}/{writers.COUNTS_FILE}")
+    return table.select("column", "value", F.col("Count").cast("long").alias("count"))
+
+
 def q_value_counts(spark, sf):
     return report.value_counts(normalized(spark, sf))
 

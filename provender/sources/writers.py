@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,16 +57,7 @@ def write_table(df: DataFrame, path: str, *, write: bool = True, mode: str = "ov
                 for f in df.schema.fields
             ]
         )
-        (
-            flat.write.mode(mode)
-            .option("header", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("emptyValue", "")
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .csv(path)
-        )
+        flat.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     else:
         df.write.mode(mode).parquet(path)
     return path
@@ -77,12 +72,69 @@ def write_counts(counts: DataFrame, folder: str, *, write: bool = True) -> str:
             .select("column", "value", F.col("count").alias("Count"))
             .write.mode("overwrite")
             .partitionBy("column")
-            .option("header", True)
+            .options(**CSV_OPTIONS)
             .csv(path)
         )
     return path
 
 
+#: Text as it is: quotes doubled, white space at the ends kept, empty text as nothing.
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+# Folders that readers do not see while the outputs of a run are on their way.
+STAGING, READY = "_staging-", "_ready-"
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finish_commits(spark: SparkSession, folder: str) -> None:
+    """Move what earlier runs had decided to put in ``folder`` but not all moved."""
+    path, files = _file_system(spark, folder)
+    if not files.exists(path(folder)):
+        return
+    for ready in files.listStatus(path(folder)):
+        if not ready.getPath().getName().startswith(READY):
+            continue
+        for entry in files.listStatus(ready.getPath()):
+            place = path(folder, entry.getPath().getName())
+            files.delete(place, True)
+            if not files.rename(entry.getPath(), place):
+                raise DataError(f"could not move {entry.getPath()} to {place}")
+        files.delete(ready.getPath(), True)
+
+
+@contextmanager
+def together(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A folder to write the outputs of a run to, which appear in ``folder`` together.
+
+    Until all are written nothing in ``folder`` changes, whatever fails. One rename then decides for the
+    new outputs, and each replaces the old one of its name; a run that is stopped in between is
+    finished by the next. Other files in ``folder`` stay. It takes a file system whose renames are whole.
+    """
+    finish_commits(spark, folder)
+    path, files = _file_system(spark, folder)
+    name = uuid.uuid4()
+    staging = f"{folder.rstrip('/')}/{STAGING}{name}"
+    files.mkdirs(path(staging))
+    try:
+        yield staging
+    except BaseException:
+        files.delete(path(staging), True)
+        raise
+    if not files.rename(path(staging), path(folder, f"{READY}{name}")):
+        raise DataError(f"could not rename {staging}")
+    finish_commits(spark, folder)
+
+
 def write_classified(df: DataFrame, input_path: str, folder: str, *, write: bool = True) -> str:
     """Predictions as ``<stem>_classified``, "no value" labels as null."""
     path = f"{folder.rstrip('/')}/{_stem(input_path)}{CLASSIFIED_SUFFIX}.csv"
