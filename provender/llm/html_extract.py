@@ -8,7 +8,7 @@ page has beyond the template are slots. Slots in the article are extracted; slot
 encloses in menus, headers, footers, sidebars, notices, adverts, forms or comments are not.
 
 Vectors are never gathered: a class is told by the number of pages, the number of occurrences and a
-128-bit sum of hashes of (page, occurrences), which is summed up before it is exchanged. So a host
+pair of sums of 31-bit hashes of (page, occurrences), which is summed up before it is exchanged. So a host
 with a third of all pages is a row for each token and task.
 """
 
@@ -28,6 +28,8 @@ from provender.llm.common import cut, long_texts, text_of
 
 #: A class needs this many pages, this share of its host's pages, and this many tokens.
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 10, 0.95, 2
+#: Characters of a path that are kept; what is longer ends with a hash.
+MAX_PATH = 512
 #: Template texts (16 bytes each) up to this number are broadcast; beyond it, joined by host.
 BROADCAST_TEXTS = 200_000
 
@@ -49,17 +51,19 @@ ARTICLE = frozenset("article main".split())
 # Words in class, id or role that name what is no main text, and what may stand
 # before and after them. Other words ("with-sidebar", "no-comments") say something else.
 _BEFORE = "article|bottom|entry|global|js|left|main|mobile|page|post|primary|right|secondary|site|sticky|sub|top|user|wp"
-_AFTER = r"""area|bar|block|body|box|button|buttons|column|container|content|form|holder|inner|item|items|label|left|link
+_AFTER = r"""area|bar|block|body|box|button|buttons|column|container|content|form|holder|info|inner|item|items|label|law|left|link
     |links|list|message|outer|panel|placeholder|posts|right|row|section|slot|title|top|bottom|unit|wrap|wrapper|zone|\d+"""
-_WORDS = r"""(?:ads?|advert[^\W_]*|adsense|alert|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?
+_WORDS = r"""(?:ads?|advert[^\W_]*|adsense|alert|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?
     |disqus|dropdown|footer|gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter
     |notices?|notification|pagination|pager|popup|promos?|promotion|recommended|related|replies|reply
-    |respond|search|share|sharing|sidebar|signup|social|sponsor[^\W_]*|subscribe|teaser|toolbar|widgets?)"""
+    |discussion|respond|search|share|sharing|sidebar|signup|social|sponsor[^\W_]*|subscribe|teaser|toolbar|widgets?)"""
 _NAMED = re.compile(
     # The header of an article is that of its text.
     rf"""(?!(?:article|entry|post)[-_]+header)(?:(?:{_BEFORE})[-_]+)*{_WORDS}(?:[-_]+(?:{_WORDS}|{_AFTER}))*""",
     re.X | re.I,
 )
+# Words in class, id or role of an article that is a reader's comment.
+_COMMENT = re.compile(r"(?:user[-_]+)?(?:comments?|reply|replies)(?:[-_]+(?:body|box|content|entry|inner|item|\d+))*", re.I)
 _RAW = "script|style|title|textarea|iframe|noframes|xmp"
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
@@ -92,6 +96,20 @@ def named(names: str) -> bool:
     return any(_NAMED.fullmatch(w) for w in names.split())
 
 
+def comment(names: str) -> bool:
+    """Whether a whole class, id or role names a reader's comment."""
+    return any(_COMMENT.fullmatch(w) for w in names.split())
+
+
+def path_below(path: str, step: str) -> str:
+    """The path of an element below ``path``. A long one keeps its outer elements and ends with a hash of
+    the whole, so that paths take bounded memory however deep elements are nested."""
+    whole = f"{path}/{step}"
+    if len(whole) <= MAX_PATH:
+        return whole
+    return f"{path.partition('/#')[0]}/#{xxhash.xxh64_hexdigest(whole)}"
+
+
 def holders(page: str) -> frozenset[int]:
     """Where the elements open that hold an article or main. Articles that are named as comments,
     teasers and the like do not count for what is around them."""
@@ -111,7 +129,11 @@ def holders(page: str) -> frozenset[int]:
         _close_implied(name, stack)
         del places[len(stack) :]
         if name in ARTICLE and not named(names_of(token["attributes"])):
-            found.update(places)
+            # What is around a place that was found before was found with it.
+            for place in reversed(places):
+                if place in found:
+                    break
+                found.add(place)
         if name not in VOID and not token["attributes"].endswith("/"):
             stack.append(Element(name, "", False, False))
             places.append(token.start())
@@ -121,16 +143,17 @@ def holders(page: str) -> frozenset[int]:
 def opened(name: str, attributes: str, parent: Element, holds: bool = False) -> Element:
     """An element below ``parent``: its path, whether it is in an article, and whether it is of
     those parts of a page that are no main text. A name tells that only of an element that neither
-    is nor ``holds`` an article or main."""
+    is nor ``holds`` an article or main, and of an article that is a reader's comment and holds no other."""
     names = names_of(attributes)
     left_out = (
         parent.left_out
         or name in LEFT_OUT
         or (name == "header" and not parent.inside)
         or (not holds and name not in ("html", "body", *ARTICLE) and named(names))
+        or (not holds and name == "article" and comment(names))
         or bool(attributes and _HIDDEN.search(attributes))
     )
-    path = f"{parent.path}/{name}" + (f".{names}" if names else "")
+    path = path_below(parent.path, name + (f".{names}" if names else ""))
     return Element(name, path, parent.inside or name in ARTICLE, left_out)
 
 

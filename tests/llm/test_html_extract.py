@@ -41,6 +41,46 @@ def test_long_and_broken_pages_take_linear_time():
         H.main_text(page)
 
 
+@pytest.mark.parametrize("tag", ["<div class='row col'>", "<span>", "<article>", "<main><article class='a b'>"])
+def test_nested_pages_take_bounded_memory(tag):
+    import tracemalloc
+
+    page = tag * 20_000 + "<p>The text.</p>"
+    tracemalloc.start()
+    found, text = H.tokens(page), H.main_text(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == "The text." and len(found) > 20_000
+    assert max(len(path) for _, _, path in found) <= H.MAX_PATH + 20
+    assert peak < 100e6
+
+
+def test_long_paths_keep_their_outer_elements_and_differ():
+    path, seen = "", set()
+    for depth in range(2_000):
+        path = H.path_below(path, f"div.c{depth % 3}")
+        seen.add(path)
+    assert len(seen) == 2_000
+    assert all(p.startswith("/div.c0/div.c1/") for p in seen if len(p) > 20)
+    assert H.path_below(path, "p") != H.path_below(path, "q")
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<main><p>The text.</p><article class='comment'><p>Me too</p></article></main>", "The text."),
+        ("<article><p>The text.</p><article class='comment even' id='c1'><p>No</p></article></article>", "The text."),
+        ("<main><p>The text.</p><article id='comment-12'><p>Me too</p></article></main>", "The text."),
+        ("<main><article class='reply'><article><p>The text.</p></article></article></main>", "The text."),
+        ("<article class='post has-comments'><p>The text.</p></article>", "The text."),
+        ("<p>The text.</p><div class='cookie-law'>Cookies</div><div id='discussion'><p>No</p></div>", "The text."),
+        ("<p>The text.</p><ol class='commentlist'><li>No</ol>", "The text."),
+    ],
+)
+def test_comments_and_notices_are_left_out(page, text):
+    assert H.main_text(page) == text
+
+
 SCHEMA = "page_id long, url string, html string, host string"
 
 
