@@ -21,6 +21,7 @@ from provender import schema as S
 from provender.errors import DataError
 from provender.functions.expressions import lookup
 from provender.functions.saved import read_json, write_json
+from provender.functions.shared import kept as written
 from provender.operators.dataset import sub_type_target, text_input
 from provender.operators.metrics import confusion, head_metrics, mean_metrics, multilabel_metrics
 from provender.rules.ruleset import MAX_TABLE_ROWS
@@ -223,17 +224,18 @@ def choose(
     validation: DataFrame,
     metric: str = "basic_type_accuracy",
 ) -> tuple[str, TextClassifier, DataFrame]:
-    """The candidate with the greatest metric, and the metric rows of all."""
+    """The candidate with the greatest metric, and the metric rows of all.
+
+    Candidates are evaluated one after the other, so that a plan holds one of them."""
     if metric not in CHOICE_METRICS:
         raise DataError(f"metric must be one of {CHOICE_METRICS}, not {metric!r}")
     candidates = dict(candidates)
     rows = None
     for name, classifier in candidates.items():
-        row = mean_metrics(evaluate(validation, classifier)).select(
-            F.lit(name).alias("model"), "*"
+        row = written(
+            mean_metrics(evaluate(validation, classifier)).select(F.lit(name).alias("model"), "*")
         )
         rows = row if rows is None else rows.unionByName(row)
-    rows = rows.persist()
     best = rows.agg(F.max_by("model", metric).alias("best")).first()["best"]
     return best, candidates[best], rows
 
