@@ -4,6 +4,9 @@ For every participant of a dialogue a rendering in which that one is the assista
 are named users. System turns keep their role in all of them. With each rendering go the spans
 (code points, from and to) that the participant said, which are those to train on.
 
+Marks inside a text or name are no marks: each ``<|`` there is written ``< |``, so that a text cannot
+end its turn or forge another; line breaks in names are written as spaces.
+
 A dialogue of any length is rendered in parts of at most ``PART`` turns; the parts of a
 participant, joined in order, are the whole rendering. So no task holds a whole long dialogue.
 """
@@ -19,10 +22,17 @@ from provender.llm.common import cut
 PART = 64
 # The marks of the rendering.
 OPEN, NAME, BODY, CLOSE = "<|im_start|>", " name=", "\n", "<|im_end|>\n"
+#: How marks start, and how that is written inside texts and names.
+MARK, WRITTEN = "<|", "< |"
 #: The role that is nobody's and the name of those who have none.
 SYSTEM, NAMELESS = "system", "unknown"
 
 
+def unmarked(text: Column) -> Column:
+    """``text`` with nothing in it that reads as a mark."""
+    return F.replace(text, F.lit(MARK), F.lit(WRITTEN))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` (conv, turn, role, body) with the position of each turn in its dialogue, from 0.
 
@@ -64,7 +74,8 @@ def rotate(
     Null texts are empty turns; a null role is a participant named "unknown"; rows without a
     conversation id form one conversation; repeated rows are repeated turns; turns that tie are
     ordered by role and text. A dialogue with system turns only has no participant and gives no
-    row. Other columns are not looked at. Spans are written "from-to", comma-joined.
+    row. Control marks in texts and names are written so that they are none; ``participant`` is the name
+    as it stands. Other columns are not looked at. Spans are written "from-to", comma-joined.
     """
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(NAMELESS))
     read = df.select(
@@ -75,6 +86,7 @@ def rotate(
     )
     parts = (
         numbered(read)
+        .withColumn("body", unmarked(F.col("body")))
         .withColumn("part", F.floor(F.col("position") / PART).cast("int"))
         .groupBy("conv", "part", "n_turns")
         .agg(F.sort_array(F.collect_list(F.struct("position", "role", "body"))).alias("turns"))
@@ -92,7 +104,7 @@ def rotate(
             F.lit(OPEN),
             F.when(said(turn), F.lit("assistant"))
             .when(turn["role"] == SYSTEM, F.lit(SYSTEM))
-            .otherwise(F.concat(F.lit("user" + NAME), turn["role"])),
+            .otherwise(F.concat(F.lit("user" + NAME), F.translate(unmarked(turn["role"]), "\n", " "))),
             F.lit(BODY),
         )
 
@@ -135,7 +147,8 @@ def rotate_sql(conversations: str) -> str:
     """``rotate`` for DuckDB."""
     return f"""
     WITH turns AS (
-        SELECT conv_id, coalesce(role, '{NAMELESS}') AS role, coalesce(text, '') AS body,
+        SELECT conv_id, coalesce(role, '{NAMELESS}') AS role,
+            replace(coalesce(text, ''), '{MARK}', '{WRITTEN}') AS body,
             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '{NAMELESS}'),
                 coalesce(text, '')) - 1 AS position,
             count(*) OVER (PARTITION BY conv_id) AS n_turns
@@ -144,7 +157,7 @@ def rotate_sql(conversations: str) -> str:
     said AS (
         SELECT t.*, CAST(position // {PART} AS INT) AS part, participant, role = participant AS own,
             '{OPEN}' || CASE WHEN role = participant THEN 'assistant' WHEN role = '{SYSTEM}' THEN '{SYSTEM}'
-                ELSE 'user{NAME}' || role END || chr(10) AS head
+                ELSE 'user{NAME}' || replace(replace(role, '{MARK}', '{WRITTEN}'), chr(10), ' ') END || chr(10) AS head
         FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
     placed AS (
         SELECT *, head || body || '<|im_end|>' || chr(10) AS piece,
