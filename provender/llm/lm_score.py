@@ -1,21 +1,24 @@
 """Scoring texts with a hierarchical Pitman-Yor language model.
 
-The model predicts a word from the one before. Frequent words have a restaurant of their own for
-what follows them. Its parent is the restaurant of all words with the same last two bytes, which
-also serves what follows the words that are not frequent; the parent of all those is one restaurant
-for the whole corpus, and its base is the uniform distribution over the training vocabulary and
-one unknown word. So there is a bounded number of restaurants (``FREQUENT`` and 65,536), while
-their dishes and customers, every word of every training text, are spread over the cluster.
-
-Seatings are sampled by Gibbs moves (``restaurants``). All dishes of a shard move in turn with the
-sums of customers and tables per restaurant that the other shards had when they were last summed
-up, as distributed samplers do. After burn-in the seatings of each sweep are averaged. For given
-totals the predictive probability is linear in customers and tables, so it is averaged by
-averaging these.
-
-Words are dealt by hash of the word, frequent ones also by the restaurant, so that no shard gets
-all of a common word. Tokens travel in packed blocks, once; every later step reads them from the
-shared checkpoint folder and exchanges sums per restaurant, or per document.
+The model predicts a word from the one before. Every word that occurs in a training text has a
+restaurant of its own for what follows it, so what is gathered grows with the corpus. All these
+share a parent, one restaurant for the whole corpus, whose base is uniform over the training
+vocabulary and one unknown word.
+
+Restaurants are dealt over shards by hash of their word, so all customers of one are in one shard.
+A word with a large share of all tokens is dealt by the word that follows, and its totals are
+summed up; there is a bounded number of these. In a turn, shards seat their customers in several
+sweeps (``restaurants``) and send the tables of each word, which are its customers in the corpus
+restaurant, to the word's home; homes seat these and send each shard what it needs for its words.
+Turns before the last are burn-in. The last one yields ``SAMPLES`` seatings of both levels, whose
+predictive probabilities are averaged.
+
+Within a turn, shards draw a word's weight in the corpus from the seating that the homes have
+(a gamma variable, the part of the base by its mean), and keep it and the totals of dealt-out
+restaurants for the turn. Randomness is a hash of the words concerned, so scores do not depend on
+partitions.
+
+Tokens travel in packed blocks once, pairs of words (with their number of customers) in each turn.
 """
 
 from __future__ import annotations
@@ -33,26 +36,28 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provender.llm import restaurants
 from provender.llm.common import cut, long_texts, partitions, text_of
-from provender.llm.restaurants import Restaurants
 
-#: A word is frequent if it makes up one in so many training tokens.
+#: A word is dealt out over shards if it makes up one in so many training tokens.
 FREQUENT = 4096
-#: Discounts and strengths of the corpus, the endings and the words.
-DISCOUNT, STRENGTH = (0.6, 0.75, 0.85), (20.0, 5.0, 1.0)
-#: Sweeps before and while averaging, Gibbs moves of a dish in a sweep, and rounds of summing up.
-BURN_IN, SAMPLES, MOVES, ROUNDS = 2, 3, 2, 1
+#: Discounts and strengths of the corpus and of the words.
+DISCOUNT, STRENGTH = (0.6, 0.8), (20.0, 2.0)
+#: Turns of burn-in, sweeps of each; seatings that are averaged, and sweeps up to each.
+BURN_IN, SWEEPS, SAMPLES, APART = 2, 2, 3, 2
 #: Tokens and rows packed at once; they bound the memory of a task that packs.
 TOKENS, ROWS = 1_000_000, 16_000
 #: Tokens after which a task reports the frequent words that it has seen.
 COUNTED = 2_000_000
-#: Shards that a task has, one after the other. A task sends one sum for each text.
-SHARDS = 3
-ENDINGS = 65_536
+#: Training tokens of a shard, about, and shards that a task has, one after the other.
+SHARD_TOKENS, SHARDS = 2_000_000, 3
 
-# Kinds of rows that shards send to be summed: by restaurant of words, of endings, by frequent
-# word, and over all.
-WORDS, ENDS, COMMON, ALL = 0, 1, 2, 3
+# Kinds of rows: what is known of texts, tokens, a shard's pairs of words, where its texts have
+# them, its seatings, words sent home, the homes' answers, sums over texts, and totals.
+ABOUT, TOKENS_OF, PAIRS, POSTINGS, SEATS, REPORT, ANSWER, SUMS, TOTAL = range(9)
+# Keys of totals: tokens and vocabulary, then customers and tables of the corpus by seating, then
+# those of dealt-out restaurants.
+SIZES, CORPUS, DEALT = 0, 1, 1000
 
 
 def held_out(id_col: str) -> Column:
@@ -66,14 +71,11 @@ def words_of(text: str) -> list[bytes]:
     return words
 
 
-def ending(word: bytes) -> int:
-    return int.from_bytes(word[-2:], "big")
-
-
-def frequent_words(texts: DataFrame) -> list[bytes]:
+def frequent_words(texts: DataFrame) -> tuple[list[bytes], int]:
     """The end and all words that make up about one in ``FREQUENT`` tokens, of which there can be
-    at most as many. A word that does so overall is above a sixteenth of that share somewhere;
-    tasks report those words and how often they saw them."""
+    at most as many, and the number of tokens. A word that does so overall is above a sixteenth of
+    that share somewhere; tasks report those words and how often they saw them. Whether a word is
+    on the list decides only where its context is counted, not what it predicts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> pd.DataFrame:
@@ -97,7 +99,7 @@ def frequent_words(texts: DataFrame) -> list[bytes]:
     sums = cut(sums)
     total = sums.where("word is null").select(F.sum("n")).first()[0] or 0
     common = sums.where((F.col("word") != b"") & (F.col("n") * FREQUENT >= total)).select("word")
-    return [b"", *sorted(bytes(r[0]) for r in common.collect())]
+    return [b"", *sorted(bytes(r[0]) for r in common.collect())], total
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -126,14 +128,37 @@ def unpack(block: bytes) -> dict[str, np.ndarray]:
 def _hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
+def _hash(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+#: Rows that steps exchange: where to, of what kind, from which shard, and a packed block or a total.
+ROW = "to long, kind long, source long, block binary, key long, a double, b double"
+_FIELDS = ("to", "kind", "source", "block", "key", "a", "b")
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64())
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``ROW``; those with a block may leave out the rest."""
+    rows = [(*r, *[None] * (7 - len(r))) for r in rows]
+    columns = zip(*rows, strict=True) if rows else [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True)], list(_FIELDS))
 
-BLOCK_SCHEMA = pa.schema([("shard", pa.int64()), ("kind", pa.int64()), ("block", pa.binary())])
 
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences, which pack well."""
+    return np.diff(values, prepend=values.dtype.type(0))
 
-def _block_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ([], [], [])
-    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, BLOCK_SCHEMA, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, schema=BLOCK_SCHEMA)
+
+def _home_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where the sums of a row, or of a word, meet."""
+    return (restaurants.mixed(keys, 77) % np.uint64(shards)).astype(np.int64)
+
+
+def _shard_of(before: np.ndarray, word: np.ndarray, dealt: np.ndarray, shards: int) -> np.ndarray:
+    """Pairs by hash of the first word; those of a dealt-out word by that of both."""
+    key = np.where(dealt, restaurants.mixed(before, 78) ^ word, before)
+    return (restaurants.mixed(key, 79) % np.uint64(shards)).astype(np.int64)
 
 
 class Packer:
@@ -141,7 +166,6 @@ class Packer:
 
     def __init__(self, common: dict[bytes, int], shards: int):
         self.common, self.shards = common, shards
-        self.common_ends = np.array([ending(w) for w in common], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -149,10 +173,10 @@ class Packer:
         self.words: list[np.ndarray] = []
         self.before: list[np.ndarray] = []
         self.owner: list[np.ndarray] = []
-        self.rows: list[tuple[int, int | None, bool, int]] = []
+        self.rows: list[tuple[int, str | None, bool, int]] = []
         self.size = 0
 
-    def add(self, row: int, identity: int | None, out: bool, words: list[bytes], before: bytes) -> None:
+    def add(self, row: int, identity: str | None, out: bool, words: list[bytes], before: bytes) -> None:
         number = self.number
         size = len(number)
         ids = []
@@ -173,8 +197,8 @@ class Packer:
     def full(self) -> bool:
         return self.size >= TOKENS or len(self.rows) >= ROWS
 
-    def blocks(self) -> list[tuple[int, int, bytes]]:
-        """Rows (shard, 1, tokens) and (shard, 0, what is known of the texts)."""
+    def blocks(self) -> list[tuple[int, int, int, bytes]]:
+        """Rows with tokens for shards, and with what is known of the texts for their homes."""
         if not self.rows:
             return []
         # Words in order of their hashes, so that a block's hashes are sorted and their steps small.
@@ -185,13 +209,11 @@ class Packer:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         common = np.array([self.common.get(w, -1) for w in vocabulary], np.int64)
-        ends = np.array(list(map(ending, vocabulary)), np.int64)
-        place = np.where(common >= 0, ENDINGS + common, ends)
-        word, before = rank[np.concatenate(self.words)], rank[np.concatenate(self.before)]
-        key = (word << 42) | (place[before] << 20) | np.concatenate(self.owner)
+        # At most 2 * TOKENS words and ROWS owners: 22 + 22 + 18 bits.
+        key = (rank[np.concatenate(self.before)] << 40) | (rank[np.concatenate(self.words)] << 18) | np.concatenate(self.owner)
         key, times = np.unique(key, return_counts=True)
-        word, at, owner = key >> 42, (key >> 20) & 0x3FFFFF, key & 0xFFFFF
-        shard = _shard_of(hashes[word], common[word], _ending_of(at, self.common_ends), self.shards)
+        before, word, owner = key >> 40, (key >> 18) & 0x3FFFFF, key & 0x3FFFF
+        shard = _shard_of(hashes[before], hashes[word], common[before] >= 0, self.shards)
         row, identity, out, sizes = zip(*self.rows, strict=True)
         row, out = np.array(row, np.int64), np.array(out)
         result = []
@@ -200,289 +222,298 @@ class Packer:
         for s in range(self.shards):
             mine = order[starts[s] : starts[s + 1]]
             if len(mine):
-                own, local = np.unique(word[mine], return_inverse=True)
-                result.append((s, 1, pack(
-                    base=row[:1], rows=np.diff(row, prepend=row[0]), out=out.astype(np.uint8), hashes=np.diff(hashes[own], prepend=np.uint64(0)),
-                    common=common[own] + 1, step=np.diff(local, prepend=0), place=at[mine], owner=owner[mine],
-                    times=times[mine] - 1,
+                own = np.unique(np.concatenate([before[mine], word[mine]]))
+                result.append((s, TOKENS_OF, 0, pack(
+                    rows=_steps(row), out=out.astype(np.uint8), hashes=_steps(hashes[own]), common=common[own] + 1,
+                    before=_steps(np.searchsorted(own, before[mine])), word=np.searchsorted(own, word[mine]),
+                    owner=owner[mine], times=times[mine] - 1,
                 )))
-        known = np.array([i is not None for i in identity], np.uint8)
-        ids = np.array([i or 0 for i in identity], np.int64)
         home = _home_of(row, self.shards)
         for s in np.unique(home).tolist():
-            mine = home == s
-            result.append((s, 0, pack(
-                row=row[mine], known=known[mine], id=ids[mine], out=out[mine].astype(np.uint8),
-                n=np.array(sizes, np.int64)[mine],
+            mine = np.flatnonzero(home == s)
+            ids = [identity[i] for i in mine.tolist()]
+            plain = [b"" if i is None else i.encode() for i in ids]
+            result.append((s, ABOUT, 0, pack(
+                row=row[mine], known=np.array([i is not None for i in ids], np.uint8), out=out[mine].astype(np.uint8),
+                n=np.array(sizes, np.int64)[mine], lengths=np.array(list(map(len, plain)), np.int64),
+                ids=np.frombuffer(b"".join(plain), np.uint8),
             )))
         self.clear()
         return result
 
 
-def _home_of(row: np.ndarray, shards: int) -> np.ndarray:
-    """Rows are dealt to where their sums meet."""
-    return (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
-
-
-def _ending_of(place: np.ndarray, common_ends: np.ndarray) -> np.ndarray:
-    """The ending's restaurant above (or at) each restaurant."""
-    return np.where(place < ENDINGS, place, common_ends[np.maximum(place - ENDINGS, 0)])
+def built(shard: int, blocks: list[bytes], shards: int) -> list[tuple]:
+    """A shard's pairs of words with their training customers, the places of its pairs in texts,
+    its words with their training tokens and contexts for their homes, and its totals."""
+    parts = [unpack(b) for b in blocks]
+    hashes = np.concatenate([np.cumsum(p["hashes"].astype(np.uint64), dtype=np.uint64) for p in parts])
+    words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    common = np.concatenate([p["common"] for p in parts]).astype(np.int64)[first]
+    key, row, times, counted, base = [], [], [], [], 0
+    for p in parts:
+        before, word = which[base + np.cumsum(p["before"].astype(np.int64))], which[base + p["word"].astype(np.int64)]
+        base += len(p["hashes"])
+        key.append(before << 32 | word)
+        row.append(np.cumsum(p["rows"].astype(np.int64))[p["owner"]])
+        times.append(p["times"].astype(np.int64) + 1)
+        counted.append(times[-1] * (p["out"][p["owner"]] == 0))
+    key, row, times, counted = map(np.concatenate, (key, row, times, counted))
+    pairs, at = np.unique(key, return_inverse=True)
+    customers = np.bincount(at, counted, minlength=len(pairs)).astype(np.int64)
+    order = np.lexsort((row, at))
+    rows, owner = np.unique(row, return_inverse=True)
+    before, word = pairs >> 32, pairs & 0xFFFFFFFF
+    level = Level(words, common, before, word, customers, shards)
+    return [
+        (shard, PAIRS, shard, pack(hashes=_steps(words), common=common, before=_steps(before), word=word, customers=customers)),
+        (shard, POSTINGS, shard, pack(pair=_steps(at[order]), rows=_steps(rows), owner=owner[order], times=times[order] - 1)),
+        *level.report(shard, [level.first()]),
+    ]
+
+
+class Level:
+    """The restaurants of a shard's words."""
+
+    def __init__(self, words, common, before, word, customers, shards: int):
+        self.words, self.common, self.before, self.word = words, common, before, word
+        self.customers, self.shards = customers, shards
+        self.keys = restaurants.mixed(words[before], 5) ^ words[word]
+        self.moving = np.flatnonzero(customers > 1)
+        self.all_customers = np.bincount(before, customers, minlength=len(words))
+        self.home = _home_of(words, shards)
+        # Words by home; homes answer in the same order.
+        self.by_home = np.argsort(self.home, kind="stable")
+
+    @classmethod
+    def of(cls, block: bytes, shards: int) -> Level:
+        p = unpack(block)
+        whole = {k: p[k].astype(np.int64) for k in ("common", "word", "customers")}
+        words = np.cumsum(p["hashes"].astype(np.uint64), dtype=np.uint64)
+        return cls(words, whole["common"], np.cumsum(p["before"].astype(np.int64)), whole["word"], whole["customers"], shards)
+
+    def first(self) -> np.ndarray:
+        """The seating at the start: one table for each pair."""
+        return np.minimum(self.customers, 1)
+
+    def all_tables(self, seats: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+        """Tables of each word's restaurant; ``dealt`` has those of dealt-out ones."""
+        own = np.bincount(self.before, seats, minlength=len(self.words))
+        return np.where(self.common > 0, dealt[np.maximum(self.common - 1, 0)], own)
+
+    def sweep(self, seats: np.ndarray, weight: np.ndarray, dealt: np.ndarray, salt: int) -> np.ndarray:
+        """All customers seated anew, for the words' weights in the corpus."""
+        d, s = DISCOUNT[1], STRENGTH[1]
+        x = restaurants.gamma(s / d + self.all_tables(seats, dealt), self.words, salt)
+        who = self.moving
+        seats = seats.copy()
+        seats[who] = restaurants.tables(
+            self.customers[who], d * x[self.before[who]] * weight[self.word[who]], d, self.keys[who], salt
+        )
+        return seats
+
+    def report(self, shard: int, seatings: list[np.ndarray]) -> list[tuple]:
+        """Rows for homes (tokens of each word, and its tables in each seating) and totals of
+        dealt-out restaurants."""
+        size = len(self.words)
+        tokens = np.bincount(self.word, self.customers, minlength=size).astype(np.int64)
+        given = [np.bincount(self.word, s, minlength=size).astype(np.int64) for s in seatings]
+        rows = []
+        starts = np.searchsorted(self.home[self.by_home], np.arange(self.shards + 1))
+        for home in range(self.shards):
+            mine = self.by_home[starts[home] : starts[home + 1]]
+            if len(mine):
+                parts = {f"tables{i}": g[mine] for i, g in enumerate(given)}
+                rows.append((home, REPORT, shard, pack(hashes=_steps(self.words[mine]), tokens=tokens[mine], **parts)))
+        dealt = np.flatnonzero((self.common > 0) & (self.all_customers > 0))
+        for i, s in enumerate(seatings):
+            tables = np.bincount(self.before, s, minlength=size)
+            for w in dealt.tolist():
+                key = DEALT + (int(self.common[w]) - 1) * SAMPLES + i
+                rows.append((shard, TOTAL, shard, None, key, float(self.all_customers[w]), float(tables[w])))
+        return rows
+
+    def answers(self, blocks: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+        """What homes say of each word: ``tokens``, and by seating ``customers0``, ``tables0``, ..."""
+        parts = [unpack(b) for _, b in sorted(blocks)]
+        whole = {}
+        for name in parts[0] if parts else ():
+            whole[name] = np.empty(len(self.words), np.int64)
+            whole[name][self.by_home] = np.concatenate([p[name] for p in parts])
+        return whole
+
+
+class Totals:
+    """Sums over all shards and homes, of a bounded number of entries."""
+
+    def __init__(self, rows: DataFrame, dealt: int):
+        found = rows.where(F.col("kind") == TOTAL).groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+        self.sums = np.zeros((2, DEALT + dealt * SAMPLES))
+        self.sums[:, found["key"].to_numpy(int)] = found[["a", "b"]].to_numpy(float).T
+
+    def dealt(self, seating: int) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of the dealt-out restaurants."""
+        return self.sums[0, DEALT + seating :: SAMPLES], self.sums[1, DEALT + seating :: SAMPLES]
+
+    def corpus(self, seating: int) -> tuple[float, float]:
+        return self.sums[0, CORPUS + seating], self.sums[1, CORPUS + seating]
+
+    @property
+    def tokens(self) -> float:
+        return self.sums[0, SIZES]
+
+    @property
+    def vocabulary(self) -> float:
+        return self.sums[1, SIZES]
+
+
+def predicted(customers, tables, all_customers, all_tables, above, level: int):
+    """The predictive probability of dishes, that of the level above given."""
+    given = customers - DISCOUNT[level] * tables + (STRENGTH[level] + DISCOUNT[level] * all_tables) * above
+    return np.where(all_customers > 0, given / (STRENGTH[level] + all_customers), above)
 
 
-def _shard_of(hashes: np.ndarray, common: np.ndarray, ends: np.ndarray, shards: int) -> np.ndarray:
-    salt = np.where(common >= 0, ends + 1, 0).astype(np.uint64)
-    mixed = hashes ^ (salt * np.uint64(0x9E3779B97F4A7C15))
-    return ((mixed >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+def home(number: int, blocks: list[tuple[int, bytes]], last: Totals | None, salt: int) -> list[tuple]:
+    """The corpus restaurant's part at a home: answers to each shard that asked, and totals.
+
+    Without totals (the start) each word has one table; else all customers are seated once."""
+    parts = [(shard, unpack(b)) for shard, b in sorted(blocks)]
+    hashes = [np.cumsum(p["hashes"].astype(np.uint64), dtype=np.uint64) for _, p in parts]
+    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+
+    def summed(name: str) -> np.ndarray:
+        values = np.concatenate([p[name].astype(np.int64) for _, p in parts])
+        return np.bincount(at, values, minlength=len(words)).astype(np.int64)
+
+    tokens = summed("tokens")
+    whole = {"tokens": tokens}
+    rows = [(number, TOTAL, number, None, SIZES, float(tokens.sum()), float((tokens > 0).sum()))]
+    for i in range(sum(k.startswith("tables") for k in parts[0][1])):
+        customers = summed(f"tables{i}")
+        if last is None:
+            tables = np.minimum(customers, 1)
+        else:
+            d, one = DISCOUNT[0], np.zeros(1, np.uint64)
+            x = restaurants.gamma(np.array([STRENGTH[0] / d + last.corpus(0)[1]]), one, salt + i)[0]
+            weight = np.full(len(words), d * x / (last.vocabulary + 1))
+            tables = restaurants.tables(customers, weight, d, restaurants.mixed(words, 6), salt + i)
+        whole |= {f"customers{i}": customers, f"tables{i}": tables}
+        rows.append((number, TOTAL, number, None, CORPUS + i, float(customers.sum()), float(tables.sum())))
+    begin = 0
+    for (shard, _), own in zip(parts, hashes, strict=True):
+        mine = at[begin : begin + len(own)]
+        begin += len(own)
+        rows.append((shard, ANSWER, number, pack(**{k: v[mine] for k, v in whole.items()})))
+    return rows
+
+
+def turned(shard: int, level: Level, seats: np.ndarray, answers: dict, totals: Totals, turn: int) -> list[tuple]:
+    """A turn of a shard: its seatings, and what it reports."""
+    all_customers, all_tables = totals.corpus(0)
+    shape = answers["customers0"] - DISCOUNT[0] * answers["tables0"]
+    shape = shape + (STRENGTH[0] + DISCOUNT[0] * all_tables) / (totals.vocabulary + 1)
+    weight = restaurants.gamma(shape, level.words, 1000 * turn + 999) / (STRENGTH[0] + all_customers)
+    weight = np.maximum(weight, 1e-300)
+    dealt = totals.dealt(0)[1]
+    last = turn == BURN_IN
+    seatings = []
+    for sample in range(SAMPLES if last else 1):
+        for sweep in range(APART if last else SWEEPS):
+            seats = level.sweep(seats, weight, dealt, 1000 * turn + 50 * sample + sweep)
+        seatings.append(seats)
+    block = pack(**{f"seats{i}": s[level.moving] for i, s in enumerate(seatings)})
+    return [(shard, SEATS, shard, block), *level.report(shard, seatings)]
+
+
+def probabilities(level: Level, seatings: list[np.ndarray], answers: dict, totals: Totals) -> np.ndarray:
+    """Of each pair: the mean over the seatings of its predictive probability."""
+    mean = np.zeros(len(level.word))
+    for i, seats in enumerate(seatings):
+        corpus = predicted(
+            answers[f"customers{i}"], answers[f"tables{i}"], *totals.corpus(i), 1 / (totals.vocabulary + 1), 0
+        )
+        dealt_customers, dealt_tables = totals.dealt(i)
+        customers = np.where(level.common > 0, dealt_customers[np.maximum(level.common - 1, 0)], level.all_customers)
+        tables = level.all_tables(seats, dealt_tables)
+        at = level.before
+        mean += predicted(level.customers, seats, customers[at], tables[at], corpus[level.word], 1) / len(seatings)
+    return mean
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[tuple[int, bytes]]]]:
+    """Blocks (with their source) of a partition by where they go and kind."""
+    found: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
+    for batch in batches:
+        for to, kind, source, block in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            found.setdefault(to, {}).setdefault(kind, []).append((source, block))
+    return found
 
 
-class Shard:
-    """The tokens of a shard, and its part of the model.
+def _each(work):
+    """``work(number, blocks by kind)`` for each shard or home of a partition."""
 
-    A pair with a single training token has one customer at one table whatever happens, at every
-    level. Such pairs are constants; only the others have seats that move.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _by_place(batches)
+        for number in sorted(found):
+            yield _rows(work(number, found.pop(number)))
 
-    def __init__(self, blocks: list[bytes], common_ends: np.ndarray, number: int):
-        parts = [unpack(b) for b in blocks]
-        hashes = np.concatenate([np.cumsum(p["hashes"].astype(np.uint64), dtype=np.uint64) for p in parts])
-        kinds = np.concatenate([p["common"] for p in parts]).astype(np.int64) - 1
-        words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        self.common = kinds[first]  # the number of a frequent word, -1 for others
-        local, base = [], 0
-        for p in parts:
-            local.append(which[base + np.cumsum(p["step"].astype(np.int64))])
-            base += len(p["hashes"])
-        self.word = np.concatenate(local)
-        self.places = at = np.concatenate([p["place"] for p in parts]).astype(np.int64)
-        self.times = np.concatenate([p["times"] for p in parts]).astype(np.int64) + 1
-        self.row = np.concatenate([(int(p["base"][0]) + np.cumsum(p["rows"].astype(np.int64)))[p["owner"]] for p in parts])
-        counted = self.times * (np.concatenate([p["out"][p["owner"]] for p in parts]) == 0)
-        self.number, self.size = number, len(common_ends)
-
-        self.counts = np.bincount(self.word, counted, minlength=len(words)).astype(np.int64)
-        pairs, self.pair = np.unique(self.word << 22 | at, return_inverse=True)
-        n = np.bincount(self.pair, counted, minlength=len(pairs)).astype(np.int64)
-        dish, place = pairs >> 22, pairs & 0x3FFFFF
-        upper, self.up_of_pair = np.unique(dish << 16 | _ending_of(place, common_ends), return_inverse=True)
-        self.dish_of_upper, self.upper_place = upper >> 16, upper & 0xFFFF
-        n_upper = np.bincount(self.up_of_pair, n, minlength=len(upper)).astype(np.int64)
-        self.from_word = place >= ENDINGS
-        self.low_place = np.where(self.from_word, place - ENDINGS, 0)
-        self.n_low = np.where(self.from_word, n, 0)
-        self.n_direct = np.bincount(self.up_of_pair, np.where(self.from_word, 0, n), minlength=len(upper)).astype(np.int64)
-
-        self.low_moving = np.flatnonzero(self.n_low > 1)
-        self.middle_moving = np.flatnonzero(n_upper > 1)
-        self.top_moving = np.flatnonzero((self.counts > 1) & (self.common < 0))
-        self.low = Restaurants(self.low_place[self.low_moving], self.size, DISCOUNT[2], STRENGTH[2])
-        self.middle = Restaurants(self.upper_place[self.middle_moving], ENDINGS, DISCOUNT[1], STRENGTH[1])
-        self.top = Restaurants(np.zeros(len(self.top_moving), np.int64), 1, DISCOUNT[0], STRENGTH[0])
-        # One table each where there is any customer; what moves is put over it.
-        self.low_tables = (self.n_low > 0).astype(float)
-        self.middle_customers = (n_upper > 0).astype(float)
-        self.top_customers = ((self.counts > 0) & (self.common < 0)).astype(float)
-
-    def levels(self) -> list[tuple[str, Restaurants]]:
-        return [("low", self.low), ("middle", self.middle), ("top", self.top)]
-
-    def state(self) -> dict[str, np.ndarray]:
-        """Customers and tables of all pairs at each level."""
-
-        def over(constant: np.ndarray, moving: np.ndarray, values: np.ndarray) -> np.ndarray:
-            whole = constant.astype(float)
-            whole[moving] = values
-            return whole
-
-        return {
-            "low_c": self.n_low.astype(float),
-            "low_t": over(self.low_tables, self.low_moving, self.low.tables),
-            "middle_c": over(self.middle_customers, self.middle_moving, self.middle.customers),
-            "middle_t": over(self.middle_customers, self.middle_moving, self.middle.tables),
-            "top_c": over(self.top_customers, self.top_moving, self.top.customers),
-            "top_t": over(self.top_customers, self.top_moving, self.top.tables),
-        }
-
-    def predict(self, state: dict, sums: dict, base: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The probability of each dish at each level, from the base down to all pairs."""
-        top = _served(state["top_c"], state["top_t"], *sums["top"][:, 0], base, 0)
-        shared = _served(sums["common"][2], sums["common"][3], *sums["top"][:, 0], base, 0)
-        top = np.where(self.common >= 0, shared[self.common], top)
-        above = top[self.dish_of_upper]
-        c, t = (x[self.upper_place] for x in sums["middle"])
-        middle = _served(state["middle_c"], state["middle_t"], c, t, above, 1)
-        above = middle[self.up_of_pair]
-        c, t = (x[self.low_place] for x in sums["low"])
-        low = _served(state["low_c"], state["low_t"], c, t, above, 2)
-        return top, middle, np.where(self.from_word, low, above)
-
-    def start(self, train_tokens: float, shards: int) -> None:
-        """Seat everybody once. Shares of words stand in for the probabilities above, and this
-        shard for all others."""
-        random = np.random.default_rng((self.number, 1))
-        share = np.maximum(self.counts, 1) / max(train_tokens, 1.0)
-        upper = share[self.dish_of_upper]
-        self.low.others[1] = shards * np.bincount(self.low_place, self.low_tables, minlength=self.size)
-        self.low.open(self.n_low[self.low_moving], upper[self.up_of_pair][self.low_moving], random)
-        self.middle.others[1] = shards * np.bincount(self.upper_place, self.middle_customers, minlength=ENDINGS)
-        self.middle.open(self._wanted_middle(), upper[self.middle_moving], random)
-        self.top.others[1] = shards * self.top_customers.sum()
-        self.top.open(self._wanted_top(), np.full(len(self.top_moving), 1e-6), random)
-
-    def _wanted_middle(self) -> np.ndarray:
-        """A table of a word's restaurant is a customer of its ending's."""
-        tables = self.state()["low_t"]
-        below = np.bincount(self.up_of_pair, tables, minlength=len(self.n_direct)).astype(np.int64)
-        return (self.n_direct + below)[self.middle_moving]
-
-    def _wanted_top(self) -> np.ndarray:
-        tables = self.state()["middle_t"]
-        below = np.bincount(self.dish_of_upper, tables, minlength=len(self.common)).astype(np.int64)
-        return below[self.top_moving]
-
-    def sample(self, sums: dict, base: float, turn: int) -> dict[str, np.ndarray]:
-        """Sweeps with the totals of the other shards; the mean state of those after burn-in."""
-        random = np.random.default_rng((self.number, 2, turn))
-        for name, level in self.levels():
-            level.others = np.maximum(sums[name] - level.totals(), 0)
-        mean: dict[str, np.ndarray] = {}
-        for sweep in range(BURN_IN + SAMPLES):
-            current = {name: level.others + level.totals() for name, level in self.levels()}
-            top, middle, _ = self.predict(self.state(), {**current, "common": sums["common"]}, base)
-            flat = np.full(len(self.top_moving), base)
-            above_low = middle[self.up_of_pair[self.low_moving]]
-            above_middle = top[self.dish_of_upper[self.middle_moving]]
-            for _ in range(MOVES):
-                self.low.move(np.flatnonzero(self.low.customers > 1), above_low, random)
-            self.middle.follow(self._wanted_middle(), above_middle, random)
-            for _ in range(MOVES):
-                self.middle.move(np.flatnonzero(self.middle.customers > 1), above_middle, random)
-            self.top.follow(self._wanted_top(), flat, random)
-            for _ in range(MOVES):
-                self.top.move(np.flatnonzero(self.top.customers > 1), flat, random)
-            if sweep >= BURN_IN:
-                for k, v in self.state().items():
-                    mean[k] = mean.get(k, 0.0) + v / SAMPLES
-        return mean
-
-    def report(self, state: dict[str, np.ndarray]) -> pd.DataFrame:
-        """What is summed over shards: ``kind, key, a, b, c, d``."""
-        rows = []
-        for kind, name, place, places in (
-            (WORDS, "low", self.low_place, self.size), (ENDS, "middle", self.upper_place, ENDINGS)
-        ):
-            c = np.bincount(place, state[f"{name}_c"], minlength=places)
-            t = np.bincount(place, state[f"{name}_t"], minlength=places)
-            used = np.flatnonzero(c)
-            rows.append((np.full(len(used), kind), used, c[used], t[used]))
-        mine = self.common >= 0
-        n = np.bincount(self.common[mine], self.counts[mine], minlength=self.size)
-        upper = self.common[self.dish_of_upper]
-        given = np.bincount(upper[upper >= 0], state["middle_t"][upper >= 0], minlength=self.size)
-        used = np.flatnonzero(n)
-        rows.append((np.full(len(used), COMMON), used, n[used], given[used]))
-        rows.append(([ALL], [0], [float(self.counts.sum())], [float(((self.counts > 0) & ~mine).sum())]))
-        rows.append(([ALL], [1], [state["top_c"].sum()], [state["top_t"].sum()]))
-        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        return pd.DataFrame(dict(zip(["kind", "key", "a", "b"], columns, strict=True)))
-
-
-def _served(customers, tables, all_customers, all_tables, above, level: int):
-    """The predictive probability of dishes in restaurants of a level, that of the parent given."""
-    given = customers - DISCOUNT[level] * tables + (STRENGTH[level] + DISCOUNT[level] * all_tables) * above
-    return np.where(all_customers > 0, given / (STRENGTH[level] + all_customers), above)
+    return run
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, list[bytes]], list[tuple]]:
-    """Token blocks of each shard in a partition, and the rows about texts."""
-    tokens: dict[int, list[tuple[bytes, bytes]]] = {}
-    about = []
-    for batch in batches:
-        for shard, kind, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if kind == 1:
-                tokens.setdefault(shard, []).append(block)
-            else:
-                about.append((shard, kind, block))
-    # Blocks arrive in any order, but the chain has to be the same each time.
-    return {s: sorted(b, key=zlib.crc32) for s, b in tokens.items()}, about
-
-
-def _chain(blocks, common_ends, number, shards, train_tokens, past: list[tuple[dict, float]]):
-    """A shard with its seating after all past rounds, and the last mean state."""
-    shard = Shard(blocks, common_ends, number)
-    shard.start(train_tokens, shards)
-    state = shard.state()
-    for turn, (sums, base) in enumerate(past):
-        state = shard.sample(sums, base, turn)
-    return shard, state
-
-
-def _summed(rows: DataFrame, size: int) -> tuple[dict, float]:
-    """The sums over shards as arrays, of at most ``FREQUENT`` and ``ENDINGS`` entries, and the
-    base probability. Frequent words lie in many shards, so they are seated in the corpus
-    restaurant here."""
-    found = rows.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
-    sums = {}
-    for kind, name, places in ((WORDS, "low", size), (ENDS, "middle", ENDINGS), (COMMON, "common", size), (ALL, "all", 2)):
-        part = found[found["kind"] == kind]
-        sums[name] = np.zeros((2, places))
-        sums[name][:, part["key"].to_numpy(int)] = part[["a", "b"]].to_numpy(float).T
-    sums["tokens"], sums["top"] = sums["all"][0, 0], sums["all"][:, 1:].copy()
-    sums["vocabulary"] = sums["all"][1, 0] + (sums["common"][0] > 0).sum()
-    base = 1.0 / (sums["vocabulary"] + 1)
-
-    random = np.random.default_rng(3)
-    top = Restaurants(np.zeros(size, np.int64), 1, DISCOUNT[0], STRENGTH[0])
-    top.others = sums["top"]
-    customers = np.round(sums["common"][1]).astype(np.int64)
-    flat, tables = np.full(size, base), np.zeros(size)
-    top.open(customers, flat, random)
-    for sweep in range(BURN_IN + SAMPLES):
-        for _ in range(MOVES):
-            top.move(np.flatnonzero(top.customers > 1), flat, random)
-        if sweep >= BURN_IN:
-            tables += top.tables / SAMPLES
-    sums["common"] = np.concatenate([sums["common"], [customers.astype(float), tables]])
-    sums["top"] += np.array([[customers.sum()], [tables.sum()]])
-    return sums, base
+def _seatings(level: Level, blocks: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    if not blocks:
+        return [level.first()]
+    found = []
+    for values in unpack(blocks[0][1]).values():
+        seats = level.first()
+        seats[level.moving] = values
+        found.append(seats)
+    return found
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row for each of ``df``.
 
-    Null and empty texts are the end alone. A row without an id hashes as the empty text. Rows that
-    repeat are scored, and learnt from, each for itself. Without any training row the model is the
-    uniform distribution over one unknown word. An empty table gives no rows; other columns are not
-    looked at. A long text is packed in several blocks whose sums meet again.
+    Null and empty texts are the end alone. Ids may be of any type that is read back from its text;
+    a row without an id hashes as the empty text. Rows that repeat are scored, and learnt from, each
+    for itself. Without any training row the model is the uniform distribution over one unknown
+    word. An empty table gives no rows; other columns are not looked at. A long text is packed in
+    several blocks whose sums meet again.
     """
     spark = df.sparkSession
     long_texts(spark)
-    shards = partitions(spark)
-    read = df.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("out"), text_of(text_col).alias("text"))
-    common = frequent_words(read.where("not out").select("text"))
+    kind = df.schema[id_col].dataType
+    read = df.select(F.col(id_col).cast("string").alias("id"), held_out(id_col).alias("out"), text_of(text_col).alias("text"))
+    common, size = frequent_words(read.where("not out").select("text"))
+    shards = max(partitions(spark), -(-size // SHARD_TOKENS))
+    tasks = -(-shards // SHARDS)
     shared = spark.sparkContext.broadcast(common)
-    common_ends = np.array([ending(w) for w in common], np.int64)
-    packed = read.mapInArrow(_packing(shared, shards), "shard long, kind long, block binary")
-    task = F.floor(F.col("shard") / SHARDS).cast("int")
-    packed = cut(packed.repartitionById(-(-shards // SHARDS), task))
-
-    past: list[tuple[dict, float]] = []
-    train_tokens = 0.0
-    for turn in range(ROUNDS + 1):
-        known = spark.sparkContext.broadcast((common_ends, train_tokens, past))
-        reports = packed.mapInArrow(_reporting(known, shards), "kind long, key long, a double, b double")
-        sums, base = _summed(reports, len(common))
-        train_tokens = sums["tokens"]
-        past = [*past, (sums, base)]
-    *rounds, last = past
-    known = spark.sparkContext.broadcast((common_ends, train_tokens, rounds, last))
-    parts = packed.mapInArrow(_scoring(known, shards), "shard long, kind long, block binary")
-    total = int(train_tokens)
-    rows = parts.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(
-        _adding, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(tasks, F.floor(F.col("to") / SHARDS).cast("int"))
+
+    def of(rows: DataFrame, *kinds: int) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds))
+
+    packed = read.mapInArrow(_packing(shared, shards), ROW)
+    rows = cut(dealt(packed).mapInArrow(_each(_building(shards)), ROW))
+    base, seats, totals = of(rows, PAIRS), of(rows, SEATS), None
+    about_and_postings = of(rows, ABOUT, POSTINGS)
+    for turn in range(BURN_IN + 2):
+        homes = cut(dealt(of(rows, REPORT)).mapInArrow(_each(_seating(spark.sparkContext.broadcast(totals), turn)), ROW))
+        totals = Totals(of(rows, TOTAL).union(homes), len(common))
+        known = spark.sparkContext.broadcast(totals)
+        answers = of(homes, ANSWER)
+        if turn <= BURN_IN:
+            rows = cut(dealt(base.union(seats).union(answers)).mapInArrow(_each(_turning(known, shards, turn)), ROW))
+            seats = of(rows, SEATS)
+    placed = dealt(about_and_postings.union(base).union(seats).union(answers))
+    parts = placed.mapInArrow(_scoring(known, shards), ROW)
+    sums = parts.repartitionById(shards, F.col("to").cast("int")).mapInArrow(
+        _adding, "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    return rows.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        "base_score", "score",
+    return sums.select(
+        F.col("id").cast(kind).alias(id_col), "held_out", "n_tokens", "n_known",
+        F.lit(int(totals.tokens)).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 
@@ -499,57 +530,66 @@ def _packing(shared: Broadcast, shards: int):
                     packer.add(row, identity, out, piece, before)
                     before = piece[-1]
                     if packer.full():
-                        yield _block_rows(packer.blocks())
+                        yield _rows(packer.blocks())
                 row += 1
-        yield _block_rows(packer.blocks())
+        yield _rows(packer.blocks())
 
     return packing
 
 
-def _reporting(known: Broadcast, shards: int):
-    def reported(number: int, blocks: list[bytes]) -> pa.RecordBatch:
-        common_ends, train_tokens, past = known.value
-        shard, state = _chain(blocks, common_ends, number, shards, train_tokens, past)
-        return pa.RecordBatch.from_pandas(shard.report(state), preserve_index=False)
+def _building(shards: int):
+    def work(number: int, kinds: dict) -> list[tuple]:
+        rows = [(number, ABOUT, 0, b) for _, b in kinds.get(ABOUT, [])]
+        tokens = [b for _, b in kinds.get(TOKENS_OF, [])]
+        return rows + (built(number, tokens, shards) if tokens else [])
+
+    return work
+
+
+def _seating(last: Broadcast, turn: int):
+    def work(number: int, kinds: dict) -> list[tuple]:
+        return home(number, kinds[REPORT], last.value, 1000 * turn + 900)
+
+    return work
+
 
-    def reporting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_shard = _by_shard(batches)[0]
-        for number in sorted(by_shard):
-            yield reported(number, by_shard.pop(number))
+def _turning(known: Broadcast, shards: int, turn: int):
+    def work(number: int, kinds: dict) -> list[tuple]:
+        level = Level.of(kinds[PAIRS][0][1], shards)
+        answers = level.answers(kinds[ANSWER])
+        return turned(number, level, _seatings(level, kinds.get(SEATS, []))[-1], answers, known.value, turn)
 
-    return reporting
+    return work
 
 
 def _scoring(known: Broadcast, shards: int):
     """Sums of each row's tokens in the shards of a task, sent to the row's home."""
 
-    def scored(number: int, blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+    def scored(kinds: dict) -> tuple[np.ndarray, ...]:
         """Rows, known tokens, base scores and scores; all else of the shard is let go."""
-        common_ends, train_tokens, rounds, (sums, base) = known.value
-        shard, state = _chain(blocks, common_ends, number, shards, train_tokens, rounds)
-        probability = shard.predict(state, sums, base)[2]
-        counts = shard.counts.astype(float)
-        mine = shard.common >= 0
-        counts[mine] = sums["common"][0][shard.common[mine]]
-        unigram = np.log10((counts + 0.5) / (train_tokens + 0.5 * (sums["vocabulary"] + 1)))
-        rows, at = np.unique(shard.row, return_inverse=True)
-        score = np.bincount(at, np.log10(probability)[shard.pair] * shard.times)
-        base_score = np.bincount(at, unigram[shard.word] * shard.times)
-        seen = np.bincount(at, (counts > 0)[shard.word] * shard.times).astype(np.int64)
-        return rows, seen, base_score, score
+        totals = known.value
+        level = Level.of(kinds[PAIRS][0][1], shards)
+        answers = level.answers(kinds[ANSWER])
+        logs = np.log10(probabilities(level, _seatings(level, kinds[SEATS]), answers, totals))
+        unigram = np.log10((answers["tokens"] + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))[level.word]
+        seen = (answers["tokens"] > 0)[level.word]
+        part = unpack(kinds[POSTINGS][0][1])
+        pair, at = np.cumsum(part["pair"].astype(np.int64)), part["owner"].astype(np.int64)
+        times, rows = part["times"].astype(np.int64) + 1, np.cumsum(part["rows"].astype(np.int64))
+        return rows, *(np.bincount(at, values[pair] * times) for values in (seen, unigram, logs))
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_shard, about = _by_shard(batches)
-        yield _block_rows(about)
-        tables = [scored(number, by_shard.pop(number)) for number in sorted(by_shard)]
+        found = _by_place(batches)
+        yield _rows([(n, ABOUT, 0, b) for n in sorted(found) for _, b in found[n].pop(ABOUT, [])])
+        tables = [scored(found.pop(n)) for n in sorted(found) if PAIRS in found[n]]
         if tables:
-            yield _block_rows(_sum_blocks(tables, shards))
+            yield _rows(_sum_blocks(tables, shards))
 
     return scoring
 
 
-def _sum_blocks(tables: list[tuple[np.ndarray, ...]], shards: int) -> list[tuple[int, int, bytes]]:
-    """Rows (home, 2, sums) of what shards have for each text."""
+def _sum_blocks(tables: list[tuple[np.ndarray, ...]], shards: int) -> list[tuple]:
+    """Rows with the sums that a task's shards have for each text, for their homes."""
     rows, at = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
     seen, base, score = (np.bincount(at, np.concatenate([t[i] for t in tables])) for i in (1, 2, 3))
     home = _home_of(rows, shards)
@@ -559,9 +599,8 @@ def _sum_blocks(tables: list[tuple[np.ndarray, ...]], shards: int) -> list[tuple
     for s in range(shards):
         own = order[starts[s] : starts[s + 1]]
         if len(own):
-            steps, known = np.diff(rows[own], prepend=0), seen[own].astype(np.int64)
-            short = score[own].astype(np.float32)
-            result.append((s, 2, pack(row=steps, n=known, base=base[own], score=short)))
+            known = seen[own].astype(np.int64)
+            result.append((s, SUMS, 0, pack(row=_steps(rows[own]), n=known, base=base[own], score=score[own])))
     return result
 
 
@@ -569,12 +608,17 @@ def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their sums."""
     about, sums = [], []
     for batch in batches:
-        for kind, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            (sums if kind == 2 else about).append(block)
+        for kind, block in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            (sums if kind == SUMS else about).append(block)
     about = [unpack(b) for b in about]
     if not about:
         return
-    texts = {k: np.concatenate([p[k].astype(np.int64) for p in about]) for k in about[0]}
+    names = []
+    for p in about:
+        ends = np.cumsum(p["lengths"].astype(np.int64)).tolist()
+        whole = p["ids"].tobytes()
+        names.extend(whole[a:b].decode() for a, b in zip([0, *ends], ends, strict=False))
+    texts = {k: np.concatenate([p[k].astype(np.int64) for p in about]) for k in ("row", "known", "out", "n")}
     rows, first, which = np.unique(texts["row"], return_index=True, return_inverse=True)
     size = len(rows)
     n_known, base, score = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -585,7 +629,7 @@ def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base[at] += part["base"]
         score[at] += part["score"]
     tokens = np.bincount(which, texts["n"]).astype(np.int64)
-    ids = pa.array(texts["id"][first], pa.int64(), mask=texts["known"][first] == 0)
+    ids = pa.array([names[i] if texts["known"][i] else None for i in first.tolist()], pa.string())
     yield pa.RecordBatch.from_arrays(
         [
             ids, pa.array(texts["out"][first] == 1), pa.array(tokens), pa.array(n_known.astype(np.int64)),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from provender.llm import lm_score as L
-from provender.llm.restaurants import Restaurants
+from provender.llm import restaurants as R
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -55,12 +55,17 @@ def test_counts_and_base_against_brute_force(frame):
 
 
 def test_blocks_and_long_texts_change_no_count(frame, monkeypatch):
-    for name, value in (("TOKENS", 11), ("ROWS", 3), ("FREQUENT", 6)):
+    for name, value in (("TOKENS", 11), ("ROWS", 3), ("FREQUENT", 6), ("SHARD_TOKENS", 100)):
         monkeypatch.setattr(L, name, value)
     rows = corpus(60)
     assert fixed(L.score(frame(rows, SCHEMA).repartition(2)).collect()) == expected(rows)
 
 
+def test_same_result_each_time(frame):
+    df = frame(corpus(60), SCHEMA)
+    assert sorted(map(str, L.score(df).collect())) == sorted(map(str, L.score(df).collect()))
+
+
 @pytest.mark.parametrize("frequent", [4096, 3])
 def test_context_beats_words_alone(frame, monkeypatch, frequent):
     monkeypatch.setattr(L, "FREQUENT", frequent)
@@ -69,9 +74,28 @@ def test_context_beats_words_alone(frame, monkeypatch, frequent):
     assert score > 0.75 * base  # both negative
 
 
-def test_same_result_each_time(frame):
-    df = frame(corpus(60), SCHEMA)
-    assert sorted(map(str, L.score(df).collect())) == sorted(map(str, L.score(df).collect()))
+def test_scores_do_not_depend_on_partitions(spark, frame, monkeypatch):
+    monkeypatch.setattr(L, "FREQUENT", 8)  # so that some words are dealt out
+    rows = corpus(120)
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for inputs, shuffles, at_once in ((1, 1, 1_000_000), (3, 7, 500), (5, 4, 40)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
+            monkeypatch.setattr(L, "TOKENS", at_once)
+            got = L.score(frame(rows, SCHEMA).repartition(inputs)).collect()
+            found.append(sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert [r[2] for r in other] == pytest.approx([r[2] for r in found[0]], rel=1e-9)
+
+
+def test_text_ids_and_clashing_columns(frame):
+    rows = [(f"a{i}\n", t, "x") for i, t, _ in corpus(30)]
+    got = L.score(frame(rows, "doc_id string, text string, score string")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
 
 
 def test_without_training_rows_and_empty(frame):
@@ -81,79 +105,129 @@ def test_without_training_rows_and_empty(frame):
     assert L.score(frame([], SCHEMA)).collect() == []
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all known words and one unknown: after a frequent word, another, and a new one."""
-    common = [b"", b"aa"]
-    packer = L.Packer({w: i for i, w in enumerate(common)}, 1)
+def test_a_text_seen_in_training_scores_above_its_like(frame):
+    """Rare words have contexts of their own, so a second copy of a text is told apart."""
+    r = random.Random(4)
+    pool = [f"w{i}" for i in range(3000)]
+    trained = [i for i in range(400) if not out(i)]
+    held = [i for i in range(400, 800) if out(i)]
+    rows = [(i, " ".join(r.choices(pool, k=60)), "x") for i in trained]
+    copied, fresh = held[::2], held[1::2]
+    rows += [(i, rows[n][1], "x") for n, i in enumerate(copied)]
+    rows += [(i, " ".join(r.choices(pool, k=60)), "x") for i in fresh]
+    score = {x["doc_id"]: x["score"] for x in L.score(frame(rows, SCHEMA)).collect()}
+    assert min(score[i] for i in copied) > max(score[i] for i in fresh)
+
+
+def whole_chain(texts, asked, turns=L.BURN_IN + 1):
+    """The probabilities of pairs, all on one shard, by the steps that the Spark job takes."""
+    packer = L.Packer({b"": 0, b"aa": 1}, 1)
+    for i, text in enumerate(texts):
+        packer.add(i, str(i), False, text, b"")
+    for i, pair in enumerate(asked):
+        packer.add(10**6 + i, str(i), True, pair[1:], pair[0])
+    rows = L.built(0, [b[3] for b in packer.blocks() if b[1] == L.TOKENS_OF], 1)
+
+    def totals(*parts):
+        t = L.Totals.__new__(L.Totals)
+        t.sums = np.zeros((2, L.DEALT + 2 * L.SAMPLES))
+        for row in (x for part in parts for x in part if x[1] == L.TOTAL):
+            t.sums[:, row[4]] += row[5:7]
+        return t
+
+    def block(rows, kind):
+        return [(x[2], x[3]) for x in rows if x[1] == kind]
+
+    level = L.Level.of(block(rows, L.PAIRS)[0][1], 1)
+    last, seatings = None, [level.first()]
+    for turn in range(turns + 1):
+        homes = L.home(0, block(rows, L.REPORT), last, 1000 * turn + 900)
+        last = totals(rows, homes)
+        answers = level.answers(block(homes, L.ANSWER))
+        if turn < turns:
+            rows = L.turned(0, level, seatings[-1], answers, last, turn)
+            seatings = L._seatings(level, block(rows, L.SEATS))
+    return level, seatings, answers, last
+
+
+def test_probabilities_sum_to_one():
+    """Over all known words and one unknown: after a dealt-out word, another, and a new one."""
     texts = [words(t) for i, t, _ in corpus(80)]
     vocabulary = sorted({w for t in texts for w in t})
-    for i, text in enumerate(texts):
-        packer.add(i, i, False, text, b"")
     contexts = [b"aa", b"bb", b"never"]
-    asked = [[c, w] for c in contexts for w in [*vocabulary, b"other"]]
-    for i, pair in enumerate(asked):
-        packer.add(1000 + i, i, True, pair, b"")
-    blocks = [b for _, kind, b in packer.blocks() if kind == 1]
-    ends = np.array([L.ending(w) for w in common])
-    shard = L.Shard(blocks, ends, 0)
-    shard.start(sum(map(len, texts)), 1)
-    for turn in range(3):
-        report = spark.createDataFrame(shard.report(shard.state() if turn == 0 else mean))
-        sums, base = L._summed(report, len(common))
-        assert (sums["tokens"], sums["vocabulary"]) == (sum(map(len, texts)), len(vocabulary))
-        if turn < 2:
-            mean = shard.sample(sums, base, turn)
-    probability = shard.predict(mean, sums, base)[2]
+    level, seatings, answers, totals = whole_chain(texts, [[c, w] for c in contexts for w in [*vocabulary, b"other"]])
+    assert (totals.tokens, totals.vocabulary) == (sum(map(len, texts)), len(vocabulary))
+    assert len(seatings) == L.SAMPLES
+    probability = L.probabilities(level, seatings, answers, totals)
     assert ((probability > 0) & (probability < 1)).all()
-    for number, context in enumerate(contexts):
-        first = 1000 + number * (len(vocabulary) + 1)
-        rows = range(first, first + len(vocabulary) + 1)
-        total = 0.0
-        for row in rows:
-            mine = np.flatnonzero(shard.row == row)
-            # Of the two tokens of a row the one after the context; the first follows the start.
-            after = [i for i in mine.tolist() if shard.places[i] != L.ENDINGS]
-            assert len(after) == 1
-            total += probability[shard.pair[after[0]]]
-        assert total == pytest.approx(1, abs=1e-9), context
-
-
-def test_restaurant_invariants():
-    r = np.random.default_rng(11)
-    place = np.sort(r.integers(0, 4, 50))
-    counts = r.integers(0, 400, 50)
-    level = Restaurants(place, 4, 0.7, 2.0)
-    above = np.full(50, 0.02)
-    level.open(counts, above, r)
-
-    def check(wanted):
-        assert (level.customers == wanted).all()
-        assert (np.bincount(level.pair, level.size, minlength=50) == wanted).all()
-        assert (np.bincount(level.pair, minlength=50) == level.tables).all()
-        assert (level.size > 0).all() and (np.diff(level.pair) >= 0).all()
-
-    check(counts)
-    for _ in range(30):
-        level.move(np.flatnonzero(level.customers > 1), above, r)
-    check(counts)
-    wanted = np.maximum(counts + r.integers(-3, 4, 50), 0)
-    level.follow(wanted, above, r)
-    check(wanted)
-
-
-def test_gibbs_moves_have_the_right_distribution():
-    """Tables of one dish with three customers, against the seating probabilities."""
-    d, s, p = 0.5, 1.0, 0.3
-    # By number of tables: all seatings of three customers times their weights.
-    one = (1 - d) * (2 - d) * (s * p)
-    two = 3 * (1 - d) * (s * p) * ((s + d) * p)
-    three = (s * p) * ((s + d) * p) * ((s + 2 * d) * p)
-    want = np.array([one, two, three]) / (one + two + three)
-    r = np.random.default_rng(12)
-    level = Restaurants(np.arange(20_000), 20_000, d, s)
-    above = np.full(20_000, p)
-    level.open(np.full(20_000, 3), above, r)
-    for _ in range(25):
-        level.move(np.arange(20_000), above, r)
-    got = np.bincount(level.tables, minlength=4)[1:] / 20_000
-    assert got == pytest.approx(want, abs=0.02)
+    asked = L._hash([*vocabulary, b"other"])
+    for context in L._hash(contexts):
+        mine = (level.words[level.before] == context) & np.isin(level.words[level.word], asked)
+        assert mine.sum() == len(asked)
+        assert probability[mine].sum() == pytest.approx(1, abs=1e-9)
+    for seats in seatings:
+        assert ((seats >= np.minimum(level.customers, 1)) & (seats <= level.customers)).all()
+
+
+def exact_tables(c, weight, d):
+    """Chances of 1, 2, ... tables by the recursion of the numbers themselves."""
+    row = np.array([0.0])
+    for n in range(c):
+        t = np.arange(len(row))
+        new = np.full(len(row) + 1, -np.inf)
+        with np.errstate(divide="ignore"):
+            new[:-1] = row + np.log(np.maximum(n - t * d, 0))
+        new[1:] = np.logaddexp(new[1:], row)
+        row = new
+    logs = row[1:] + np.arange(1, c + 1) * math.log(weight)
+    p = np.exp(logs - logs.max())
+    return p / p.sum()
+
+
+@pytest.mark.parametrize(("c", "weight"), [(2, 0.3), (3, 0.15), (40, 2.0), (1024, 9.0)])
+def test_tables_of_a_dish_have_the_right_distribution(c, weight):
+    d, n = 0.8, 40_000
+    got = R.tables(np.full(n, c), np.full(n, weight), d, np.arange(n, dtype=np.uint64), 3)
+    want = exact_tables(c, weight, d)
+    assert np.abs(np.cumsum(np.bincount(got, minlength=c + 1)[1:] / n) - np.cumsum(want)).max() < 0.01
+
+
+@pytest.mark.parametrize("weight", [0.01, 0.5, 10.0, 300.0, 1e5])
+def test_large_dishes_are_close_to_the_exact_distribution(weight):
+    d, n, c = 0.8, 20_000, 5000
+    # Evenly laid points instead of hashes, so that what is left is the bias.
+    got = R._large(np.full(n, c), np.full(n, math.log(weight)), d, (np.arange(n) + 0.5) / n)
+    p, t = exact_tables(c, weight, d), np.arange(1, c + 1)
+    mean = (p * t).sum()
+    spread = math.sqrt((p * t**2).sum() - mean**2)
+    assert got.mean() == pytest.approx(mean, rel=0.005, abs=0.02)
+    assert got.std() == pytest.approx(spread, rel=0.1, abs=0.05)
+
+
+def test_sweeps_of_a_restaurant_have_the_right_distribution():
+    """Two dishes share a restaurant: all seatings weighed against many chains."""
+    d, s, p, counts = L.DISCOUNT[1], L.STRENGTH[1], (0.3, 0.05), (4, 3)
+    stirling = np.exp(R.stirling(d)[:5, :5])
+    want = {}
+    for a in range(1, 5):
+        for b in range(1, 4):
+            up = np.prod([s + d * i for i in range(a + b)])
+            want[a, b] = stirling[4, a] * stirling[3, b] * p[0] ** a * p[1] ** b * up
+    total = sum(want.values())
+    n = 30_000
+    words = R.mixed(np.arange(n + 2, dtype=np.uint64), 9)
+    before = np.repeat(np.arange(n), 2)
+    level = L.Level(words, np.zeros(n + 2, np.int64), before, np.tile([n, n + 1], n), np.tile(counts, n), 1)
+    weight = np.concatenate([np.ones(n), p])
+    seats = level.first()
+    for sweep in range(12):
+        seats = level.sweep(seats, weight, np.zeros(1), sweep)
+    got = Counter(zip(seats[::2].tolist(), seats[1::2].tolist(), strict=True))
+    for key, value in want.items():
+        assert got[key] / n == pytest.approx(value / total, abs=0.012), key
+
+
+def test_gamma_variables():
+    for shape in (0.1, 0.4, 1.0, 4.0, 1e6):
+        x = R.gamma(np.full(100_000, shape), np.arange(100_000, dtype=np.uint64), 3)
+        assert x.mean() == pytest.approx(shape, rel=0.03) and x.var() == pytest.approx(shape, rel=0.06)
