@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver look now which shuffles and checkpoints nobody refers to any more.
+
+    Spark removes their files after that (checkpoints if ``cleanCheckpoints`` is set); by itself
+    the driver looks when its own memory is short, which says nothing of the disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows that go to Python at once where texts do.
 TEXTS_AT_ONCE = 1000
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provender.llm import restaurants
-from provender.llm.common import cut, long_texts, partitions, text_of
+from provender.llm.common import cut, let_go, long_texts, partitions, text_of
 
 #: A word is dealt out over shards if it makes up one in so many training tokens.
 FREQUENT = 4096
@@ -53,8 +53,9 @@ COUNTED = 2_000_000
 SHARD_TOKENS, SHARDS = 2_000_000, 3
 
 # Kinds of rows: what is known of texts, tokens, a shard's pairs of words, where its texts have
-# them, its seatings, words sent home, the homes' answers, sums over texts, and totals.
-ABOUT, TOKENS_OF, PAIRS, POSTINGS, SEATS, REPORT, ANSWER, SUMS, TOTAL = range(9)
+# them, its seatings, words sent home, a home's words and where shards have them, the homes'
+# answers, sums over texts, and totals.
+ABOUT, TOKENS_OF, PAIRS, POSTINGS, SEATS, REPORT, WORDS, INDEX, ANSWER, SUMS, TOTAL = range(11)
 # Keys of totals: tokens and vocabulary, then customers and tables of the corpus by seating, then
 # those of dealt-out restaurants.
 SIZES, CORPUS, DEALT = 0, 1, 1000
@@ -150,14 +151,20 @@ def _steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
-def _home_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where the sums of a row, or of a word, meet."""
-    return (restaurants.mixed(keys, 77) % np.uint64(shards)).astype(np.int64)
+def _home_of(rows: np.ndarray, shards: int) -> np.ndarray:
+    """Where the sums of a row meet."""
+    return (restaurants.mixed(rows, 77) % np.uint64(shards)).astype(np.int64)
 
 
-def _shard_of(before: np.ndarray, word: np.ndarray, dealt: np.ndarray, shards: int) -> np.ndarray:
-    """Pairs by hash of the first word; those of a dealt-out word by that of both."""
-    key = np.where(dealt, restaurants.mixed(before, 78) ^ word, before)
+def _home_of_word(short: np.ndarray, shards: int) -> np.ndarray:
+    """Where the sums of a word meet, by the upper half of its hash: homes hold ranges of hashes."""
+    return (short * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _shard_of(before: np.ndarray, word: np.ndarray, dealt: np.ndarray, often: np.ndarray, shards: int) -> np.ndarray:
+    """Pairs by hash of the first word; those of a dealt-out word by that of the second, and of both
+    if the second one is as frequent."""
+    key = np.where(dealt, np.where(often, restaurants.mixed(before, 78) ^ word, word), before)
     return (restaurants.mixed(key, 79) % np.uint64(shards)).astype(np.int64)
 
 
@@ -213,7 +220,7 @@ class Packer:
         key = (rank[np.concatenate(self.before)] << 40) | (rank[np.concatenate(self.words)] << 18) | np.concatenate(self.owner)
         key, times = np.unique(key, return_counts=True)
         before, word, owner = key >> 40, (key >> 18) & 0x3FFFFF, key & 0x3FFFF
-        shard = _shard_of(hashes[before], hashes[word], common[before] >= 0, self.shards)
+        shard = _shard_of(hashes[before], hashes[word], common[before] >= 0, common[word] >= 0, self.shards)
         row, identity, out, sizes = zip(*self.rows, strict=True)
         row, out = np.array(row, np.int64), np.array(out)
         result = []
@@ -263,33 +270,34 @@ def built(shard: int, blocks: list[bytes], shards: int) -> list[tuple]:
     order = np.lexsort((row, at))
     rows, owner = np.unique(row, return_inverse=True)
     before, word = pairs >> 32, pairs & 0xFFFFFFFF
-    level = Level(words, common, before, word, customers, shards)
+    short = words >> np.uint64(32)
+    level = Level(short, common, before, word, customers, shards)
     return [
-        (shard, PAIRS, shard, pack(hashes=_steps(words), common=common, before=_steps(before), word=word, customers=customers)),
+        (shard, PAIRS, shard, pack(short=_steps(short), common=common, before=_steps(before), word=word, customers=customers)),
         (shard, POSTINGS, shard, pack(pair=_steps(at[order]), rows=_steps(rows), owner=owner[order], times=times[order] - 1)),
-        *level.report(shard, [level.first()]),
+        *level.report(shard, [level.first()], words),
     ]
 
 
 class Level:
-    """The restaurants of a shard's words."""
+    """The restaurants of a shard's words, which are sorted by hash.
+
+    Only the upper halves of hashes are kept, as keys of random numbers, which words may share."""
 
-    def __init__(self, words, common, before, word, customers, shards: int):
-        self.words, self.common, self.before, self.word = words, common, before, word
+    def __init__(self, short, common, before, word, customers, shards: int):
+        self.short, self.common, self.before, self.word = short, common, before, word
         self.customers, self.shards = customers, shards
-        self.keys = restaurants.mixed(words[before], 5) ^ words[word]
+        self.words = restaurants.mixed(short, 4)
+        self.keys = restaurants.mixed(self.words[before], 5) ^ self.words[word]
         self.moving = np.flatnonzero(customers > 1)
-        self.all_customers = np.bincount(before, customers, minlength=len(words))
-        self.home = _home_of(words, shards)
-        # Words by home; homes answer in the same order.
-        self.by_home = np.argsort(self.home, kind="stable")
+        self.all_customers = np.bincount(before, customers, minlength=len(short))
 
     @classmethod
     def of(cls, block: bytes, shards: int) -> Level:
         p = unpack(block)
         whole = {k: p[k].astype(np.int64) for k in ("common", "word", "customers")}
-        words = np.cumsum(p["hashes"].astype(np.uint64), dtype=np.uint64)
-        return cls(words, whole["common"], np.cumsum(p["before"].astype(np.int64)), whole["word"], whole["customers"], shards)
+        short = np.cumsum(p["short"].astype(np.uint64), dtype=np.uint64)
+        return cls(short, whole["common"], np.cumsum(p["before"].astype(np.int64)), whole["word"], whole["customers"], shards)
 
     def first(self) -> np.ndarray:
         """The seating at the start: one table for each pair."""
@@ -311,19 +319,22 @@ class Level:
         )
         return seats
 
-    def report(self, shard: int, seatings: list[np.ndarray]) -> list[tuple]:
-        """Rows for homes (tokens of each word, and its tables in each seating) and totals of
-        dealt-out restaurants."""
+    def report(self, shard: int, seatings: list[np.ndarray], hashes: np.ndarray | None = None) -> list[tuple]:
+        """Rows for homes (tables of each word in each seating, at first with its hash and tokens)
+        and totals of dealt-out restaurants."""
         size = len(self.words)
-        tokens = np.bincount(self.word, self.customers, minlength=size).astype(np.int64)
-        given = [np.bincount(self.word, s, minlength=size).astype(np.int64) for s in seatings]
+        values = {f"tables{i}": np.bincount(self.word, s, minlength=size).astype(np.int64) for i, s in enumerate(seatings)}
+        if hashes is not None:
+            values["tokens"] = np.bincount(self.word, self.customers, minlength=size).astype(np.int64)
         rows = []
-        starts = np.searchsorted(self.home[self.by_home], np.arange(self.shards + 1))
+        cuts = np.searchsorted(_home_of_word(self.short, self.shards), np.arange(self.shards + 1)).tolist()
         for home in range(self.shards):
-            mine = self.by_home[starts[home] : starts[home + 1]]
-            if len(mine):
-                parts = {f"tables{i}": g[mine] for i, g in enumerate(given)}
-                rows.append((home, REPORT, shard, pack(hashes=_steps(self.words[mine]), tokens=tokens[mine], **parts)))
+            mine = slice(cuts[home], cuts[home + 1])
+            if cuts[home] < cuts[home + 1]:
+                parts = {k: v[mine] for k, v in values.items()}
+                if hashes is not None:
+                    parts["hashes"] = _steps(hashes[mine])
+                rows.append((home, REPORT, shard, pack(**parts)))
         dealt = np.flatnonzero((self.common > 0) & (self.all_customers > 0))
         for i, s in enumerate(seatings):
             tables = np.bincount(self.before, s, minlength=size)
@@ -333,13 +344,10 @@ class Level:
         return rows
 
     def answers(self, blocks: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
-        """What homes say of each word: ``tokens``, and by seating ``customers0``, ``tables0``, ..."""
+        """What homes say of each word: by seating ``customers0``, ``tables0``, ..., and at the end
+        ``tokens``."""
         parts = [unpack(b) for _, b in sorted(blocks)]
-        whole = {}
-        for name in parts[0] if parts else ():
-            whole[name] = np.empty(len(self.words), np.int64)
-            whole[name][self.by_home] = np.concatenate([p[name] for p in parts])
-        return whole
+        return {k: np.concatenate([p[k].astype(np.int64) for p in parts]) for k in parts[0]}
 
 
 class Totals:
@@ -372,37 +380,42 @@ def predicted(customers, tables, all_customers, all_tables, above, level: int):
     return np.where(all_customers > 0, given / (STRENGTH[level] + all_customers), above)
 
 
-def home(number: int, blocks: list[tuple[int, bytes]], last: Totals | None, salt: int) -> list[tuple]:
+def home(number: int, kinds: dict, last: Totals | None, turn: int) -> list[tuple]:
     """The corpus restaurant's part at a home: answers to each shard that asked, and totals.
 
-    Without totals (the start) each word has one table; else all customers are seated once."""
-    parts = [(shard, unpack(b)) for shard, b in sorted(blocks)]
-    hashes = [np.cumsum(p["hashes"].astype(np.uint64), dtype=np.uint64) for _, p in parts]
-    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-
-    def summed(name: str) -> np.ndarray:
-        values = np.concatenate([p[name].astype(np.int64) for _, p in parts])
-        return np.bincount(at, values, minlength=len(words)).astype(np.int64)
-
-    tokens = summed("tokens")
-    whole = {"tokens": tokens}
-    rows = [(number, TOTAL, number, None, SIZES, float(tokens.sum()), float((tokens > 0).sum()))]
-    for i in range(sum(k.startswith("tables") for k in parts[0][1])):
-        customers = summed(f"tables{i}")
+    At the start each word has one table, and the home makes its list of words; after that all
+    customers are seated once in a turn."""
+    reports = [(shard, unpack(b)) for shard, b in sorted(kinds[REPORT])]
+    rows = []
+    if last is None:
+        hashes = [np.cumsum(p["hashes"].astype(np.uint64), dtype=np.uint64) for _, p in reports]
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        places = np.split(at, np.cumsum([len(h) for h in hashes])[:-1])
+        short = words >> np.uint64(32)
+        tokens = np.bincount(at, np.concatenate([p["tokens"] for _, p in reports])).astype(np.int64)
+        rows.append((number, WORDS, number, pack(short=_steps(short), tokens=tokens)))
+        rows.extend((number, INDEX, s, pack(at=_steps(own))) for (s, _), own in zip(reports, places, strict=True))
+    else:
+        known, index = unpack(kinds[WORDS][0][1]), dict(kinds[INDEX])
+        short, tokens = np.cumsum(known["short"].astype(np.uint64), dtype=np.uint64), known["tokens"].astype(np.int64)
+        places = [np.cumsum(unpack(index[s])["at"].astype(np.int64)) for s, _ in reports]
+        at = np.concatenate(places)
+    rows.append((number, TOTAL, number, None, SIZES, float(tokens.sum()), float((tokens > 0).sum())))
+    whole = {"tokens": tokens} if turn > BURN_IN else {}
+    for i in range(sum(k.startswith("tables") for k in reports[0][1])):
+        given = np.concatenate([p[f"tables{i}"] for _, p in reports])
+        customers = np.bincount(at, given, minlength=len(short)).astype(np.int64)
         if last is None:
             tables = np.minimum(customers, 1)
         else:
-            d, one = DISCOUNT[0], np.zeros(1, np.uint64)
-            x = restaurants.gamma(np.array([STRENGTH[0] / d + last.corpus(0)[1]]), one, salt + i)[0]
-            weight = np.full(len(words), d * x / (last.vocabulary + 1))
-            tables = restaurants.tables(customers, weight, d, restaurants.mixed(words, 6), salt + i)
+            d, one, salt = DISCOUNT[0], np.zeros(1, np.uint64), 1000 * turn + 900 + i
+            x = restaurants.gamma(np.array([STRENGTH[0] / d + last.corpus(0)[1]]), one, salt)[0]
+            weight = np.full(len(short), d * x / (last.vocabulary + 1))
+            tables = restaurants.tables(customers, weight, d, restaurants.mixed(short, 6), salt)
         whole |= {f"customers{i}": customers, f"tables{i}": tables}
         rows.append((number, TOTAL, number, None, CORPUS + i, float(customers.sum()), float(tables.sum())))
-    begin = 0
-    for (shard, _), own in zip(parts, hashes, strict=True):
-        mine = at[begin : begin + len(own)]
-        begin += len(own)
-        rows.append((shard, ANSWER, number, pack(**{k: v[mine] for k, v in whole.items()})))
+    for (shard, _), own in zip(reports, places, strict=True):
+        rows.append((shard, ANSWER, number, pack(**{k: v[own] for k, v in whole.items()})))
     return rows
 
 
@@ -497,12 +510,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     packed = read.mapInArrow(_packing(shared, shards), ROW)
     rows = cut(dealt(packed).mapInArrow(_each(_building(shards)), ROW))
     base, seats, totals = of(rows, PAIRS), of(rows, SEATS), None
-    about_and_postings = of(rows, ABOUT, POSTINGS)
+    about_and_postings, index = of(rows, ABOUT, POSTINGS), None
     for turn in range(BURN_IN + 2):
-        homes = cut(dealt(of(rows, REPORT)).mapInArrow(_each(_seating(spark.sparkContext.broadcast(totals), turn)), ROW))
+        asked = of(rows, REPORT) if index is None else of(rows, REPORT).union(index)
+        homes = cut(dealt(asked).mapInArrow(_each(_seating(spark.sparkContext.broadcast(totals), turn)), ROW))
+        index = of(homes, WORDS, INDEX) if index is None else index
         totals = Totals(of(rows, TOTAL).union(homes), len(common))
         known = spark.sparkContext.broadcast(totals)
         answers = of(homes, ANSWER)
+        let_go(spark)
         if turn <= BURN_IN:
             rows = cut(dealt(base.union(seats).union(answers)).mapInArrow(_each(_turning(known, shards, turn)), ROW))
             seats = of(rows, SEATS)
@@ -548,7 +564,7 @@ def _building(shards: int):
 
 def _seating(last: Broadcast, turn: int):
     def work(number: int, kinds: dict) -> list[tuple]:
-        return home(number, kinds[REPORT], last.value, 1000 * turn + 900)
+        return home(number, kinds, last.value, turn)
 
     return work
 
