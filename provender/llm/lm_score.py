@@ -49,8 +49,9 @@ BURN_IN, SWEEPS, SAMPLES, APART = 2, 2, 3, 2
 TOKENS, ROWS = 1_000_000, 16_000
 #: Tokens after which a task reports the frequent words that it has seen.
 COUNTED = 2_000_000
-#: Training tokens of a shard, about, and shards that a task has, one after the other.
-SHARD_TOKENS, SHARDS = 2_000_000, 3
+#: Training tokens of a shard, about, at most and (where there are partitions for more) at least,
+#: and shards that a task has, one after the other.
+SHARD_TOKENS, LEAST_TOKENS, SHARDS = 2_000_000, 200_000, 3
 
 # Kinds of rows: what is known of texts, tokens, a shard's pairs of words, where its texts have
 # them, its seatings, words sent home, a home's words and where shards have them, the homes'
@@ -497,7 +498,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     kind = df.schema[id_col].dataType
     read = df.select(F.col(id_col).cast("string").alias("id"), held_out(id_col).alias("out"), text_of(text_col).alias("text"))
     common, size = frequent_words(read.where("not out").select("text"))
-    shards = max(partitions(spark), -(-size // SHARD_TOKENS))
+    # By tokens, as shards and homes exchange a block for each two of them.
+    shards = max(1, -(-size // SHARD_TOKENS), min(partitions(spark), size // LEAST_TOKENS))
     tasks = -(-shards // SHARDS)
     shared = spark.sparkContext.broadcast(common)
 

@@ -76,6 +76,7 @@ def test_context_beats_words_alone(frame, monkeypatch, frequent):
 
 def test_scores_do_not_depend_on_partitions(spark, frame, monkeypatch):
     monkeypatch.setattr(L, "FREQUENT", 8)  # so that some words are dealt out
+    monkeypatch.setattr(L, "LEAST_TOKENS", 10)
     rows = corpus(120)
     found = []
     before = spark.conf.get("spark.sql.shuffle.partitions")
