@@ -91,8 +91,8 @@ def top_k(
     other rows with the highest inner products of the floored vectors.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows without
-    an id, which could not be named. Of rows with equal ids the one with the smallest vector
-    stands for all. Vectors of unequal length are filled with zeros. Empty tables give no rows;
+    an id, which could not be named. Rows with equal ids are candidates each for itself, and for
+    other ids only; what they ask is ranked together under their id. Vectors of unequal length are filled with zeros. Empty tables give no rows;
     a table with fewer other rows gives all of them. Other columns are not looked at.
 
     Rows are hashed into shards of about ``SHARD`` vectors. Queries are packed into blocks which
@@ -102,6 +102,12 @@ def top_k(
     vectors = df.select(
         F.col(id_col).cast("long").alias("vec_id"), floored(embedding_col).alias("v")
     ).where("vec_id is not null and v is not null")
+    # Equal rows have equal scores, so k of them fill every list that any number of them could.
+    vectors = (
+        vectors.groupBy("vec_id", "v")
+        .agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+        .select("vec_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    )
     size = vectors.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("vec_id") % every == 0).alias("queries"),
@@ -113,15 +119,15 @@ def top_k(
     dimensions = size["dimensions"] or 0
 
     spread = vectors.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(shards).cast("long")).alias("shard"),
+        F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards).cast("long")).alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
         "vec_id",
         "v",
     )
-    number = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks).cast("long"))
+    number = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks).cast("long"))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, values = _distinct(rows, dimensions)
+        ids, values = rows["vec_id"].to_numpy(), stacked(rows["v"].tolist(), dimensions)
         return pd.DataFrame({"block": [key[0]], "ids": [ids.tobytes()], "values": [values.tobytes()]})
 
     asked = (
@@ -139,7 +145,7 @@ def top_k(
     def answered(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(rows) and len(queries):
-            index = Index(*_distinct(rows, dimensions))
+            index = Index(rows["vec_id"].to_numpy(), stacked(rows["v"].tolist(), dimensions))
             for ids, values in zip(queries["ids"], queries["values"], strict=True):
                 query_ids = np.frombuffer(ids, np.int64)
                 table = np.frombuffer(values, np.int64).reshape(len(query_ids), dimensions)
@@ -157,17 +163,6 @@ def top_k(
     )
 
 
-def _distinct(rows: pd.DataFrame, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors, for each id the smallest vector."""
-    ids, vectors = rows["vec_id"].to_numpy(), rows["v"].tolist()
-    if len(set(ids.tolist())) < len(ids):
-        smallest: dict[int, tuple[int, ...]] = {}
-        for i, v in zip(ids.tolist(), map(tuple, vectors), strict=True):
-            smallest[i] = min(smallest.get(i, v), v)
-        ids, vectors = np.array(list(smallest), np.int64), list(smallest.values())
-    return ids, stacked(vectors, dimensions)
-
-
 def top_k_sql(embeddings: str, k: int = 10, every: int = 100) -> str:
     """``top_k`` by brute force, for DuckDB."""
     return f"""

@@ -7,19 +7,17 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
 def brute(rows, k, every):
-    vectors = {}
-    for i, v, _ in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = tuple(math.floor(1024.0 * x) for x in v)
-        vectors[i] = min(vectors.get(i, w), w)
-    out = []
-    for q, a in vectors.items():
-        if q % every:
-            continue
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
-    return sorted(out)
+    vectors = [
+        (i, [math.floor(1024.0 * x) for x in v])
+        for i, v, _ in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    asked = {}
+    for q, a in vectors:
+        if q % every == 0:
+            scored = [(-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q]
+            asked.setdefault(q, []).extend(scored)
+    return sorted((q, n + 1, i, -s) for q, found in asked.items() for n, (s, i) in enumerate(sorted(found)[:k]))
 
 
 def collected(df):
@@ -55,6 +53,19 @@ def test_odd_rows(frame):
     assert T.top_k(df.limit(0)).collect() == []
 
 
+def test_repeated_ids_are_candidates_each_for_itself(frame, spark):
+    import duckdb
+
+    rows = make(60, 7) + [(7, [float(n % 3)] * 8, "again") for n in range(40)] + [(20, [2.0] * 8, "again")] * 15
+    df = frame(rows, SCHEMA)
+    got = collected(T.top_k(df, 10, 20))
+    assert got == brute(rows, 10, 20)
+    table = df.toPandas()
+    with duckdb.connect() as db:
+        db.register("embeddings", table)
+        assert sorted(db.execute(T.top_k_sql("embeddings", 10, 20)).fetchall()) == got
+
+
 def test_stops_before_the_last_segment():
     import numpy as np
 
