@@ -171,7 +171,8 @@ def item_pieces(items: DataFrame, item_col: str, text_col: str, window: int, lim
     read = items.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_of(text_col).alias("text")
     )
-    return read.mapInPandas(pieces, "item string, words binary, n long").where("n > 0")
+    # Once each, or an item that is repeated much would fill one group of the automata.
+    return read.mapInPandas(pieces, "item string, words binary, n long").where("n > 0").distinct()
 
 
 def automaton_parts(pieces: DataFrame, limit: int) -> list[list[tuple[str, bytes]]] | Iterator:
@@ -205,7 +206,7 @@ def contamination(
     long_texts(df.sparkSession)
     names = [c for c in df.columns if c not in ("_n_words", "_spans", "_items")]
     done = df.select(*names)
-    pieces = item_pieces(items, item_col, item_text_col, window, WORDS_AT_ONCE)
+    pieces = cut(item_pieces(items, item_col, item_text_col, window, WORDS_AT_ONCE))
     for number, part in enumerate(automaton_parts(pieces, WORDS_AT_ONCE)):
         scanned = scanner(df.sparkSession.sparkContext.broadcast(part), window)
         found = done.withColumn("_found", scanned(text_of(text_col)))

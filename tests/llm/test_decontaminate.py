@@ -112,3 +112,12 @@ def test_columns_of_any_name_and_lengths_after_cuts(spark, frame):
     found = D.remove_spans(table, items, length_col="n_chars")
     assert found.columns == table.columns
     assert sorted(map(tuple, found.collect())) == [(1, "before   after", *rows[0][2:6], 14, "_", 5), *rows[1:]]
+
+
+def test_an_item_repeated_much_is_one_piece(frame, spark):
+    line = " ".join(f"w{i}" for i in range(20))
+    items = frame([(1, line)] * 300 + [(2, line), (3, "other words")], "item_id long, text string").repartition(3)
+    pieces = D.item_pieces(items, "item_id", "text", 13, 50)
+    assert sorted(r["item"] for r in pieces.collect()) == ["1", "2", "3"]
+    parts = list(D.automaton_parts(pieces, 15))
+    assert sum(map(len, parts)) == 3 and max(map(len, parts)) <= 3
