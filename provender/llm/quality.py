@@ -1,10 +1,11 @@
 """A quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
-An interpolated modified Kneser-Ney trigram model over characters is trained on documents that are
-labelled as good. Counts, continuation counts, discounts and back-off weights are joins and
+An interpolated modified Kneser-Ney trigram model over characters is trained on all documents that are
+labelled as good, whole. Counts, continuation counts, discounts and back-off weights are joins and
 aggregations of Spark; the finished probabilities are sorted by n-gram and cut into shards of a
 bounded size. A document's n-grams are counted and joined with each shard, which gives its
-perplexity. A document passes if that is not above its language's threshold, a quantile of the
+perplexity; a model of more shards than tasks should hold is joined with the documents' n-grams as a
+table instead. A document passes if that is not above its language's threshold, a quantile of the
 perplexities of trusted documents in that language with some slack.
 
 A trigram of code points has 63 bits, so n-grams are exact integers and no alphabet is assumed.
@@ -12,20 +13,19 @@ A trigram of code points has 63 bits, so n-grams are exact integers and no alpha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provender.functions.expressions import broadcast_if_small
 from provender.llm.common import cut, long_texts, text_of
+from provender.operators.corrections import by_word
 
-#: Most documents to train on, and the longest of them. The sample of labelled rows that the model
-#: is fitted on; scores and thresholds cover all rows.
-TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 20_000, 20_000
-#: Entries of the model in one shard (12 bytes each).
-SHARD = 4_000_000
+#: Entries of the model in one shard (12 bytes each), and the most shards that are broadcast.
+SHARD, MAX_SHARDS = 4_000_000, 2
 #: Quantile of trusted perplexities, and what they are multiplied by.
 QUANTILE, SLACK = 0.99, 1.6
 #: Thresholds by language are broadcast up to this number of languages.
@@ -226,8 +226,7 @@ class Shard:
 
 
 def shards(model: DataFrame, unseen: float) -> list[Shard]:
-    """The model in shards of about ``SHARD`` entries, fetched one at a time. How many there can
-    be is bounded by the training sample."""
+    """The model in shards of about ``SHARD`` entries, fetched one at a time."""
     one = F.lit((1 << BITS) - 1).cast("long")
     middle = (
         F.when(F.col("kind").isin(KINDS["p3"], KINDS["p2"]), F.shiftright("code", BITS))
@@ -270,11 +269,59 @@ def perplexity_column(df: DataFrame, model: list[Shard], text: Column) -> Column
     return scored.asNondeterministic()(text)
 
 
+def joined_perplexity(df: DataFrame, model: DataFrame, unseen: float, text: Column) -> DataFrame:
+    """``df`` with ``perplexity`` as :func:`perplexity_column` gives it, for models of any size: different
+    trigrams of all texts are looked up by joins, once each, and joined with the texts' counts."""
+    long_texts(df.sparkSession)
+    rows = cut(df.withColumn("_text", text).withColumn("_row", F.monotonically_increasing_id()))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["_row"].to_numpy()
+            for symbols, owners in pieces(batch["_text"].tolist()):
+                own = owners[2:] >= 0
+                found = pd.DataFrame({"_row": ids[owners[2:][own]], "token": trigram_codes(symbols)[own]})
+                yield found.groupby(["_row", "token"], as_index=False).size()
+
+    texts = rows.where(F.length("_text") > 0).select("_row", "_text")
+    grams = cut(texts.mapInPandas(counted, "_row long, token long, size long"))
+    low, one = (F.lit((1 << bits) - 1).cast("long") for bits in (2 * BITS, BITS))
+    code = F.col("token")
+    keys = {
+        "p3": code, "g3": F.shiftright(code, BITS), "p2": code.bitwiseAND(low),
+        "g2": F.shiftright(code, BITS).bitwiseAND(one), "p1": code.bitwiseAND(one),
+    }
+    logs = grams.select("token").distinct()
+    for kind, key in keys.items():
+        table = model.where(F.col("kind") == KINDS[kind]).select(F.col("code").alias("_key"), F.col("value").alias(kind))
+        # Tables by single characters are small whatever the text, and their keys are the hot ones.
+        table = F.broadcast(table) if kind in ("g2", "p1") else table
+        logs = logs.join(table, key == F.col("_key"), "left").drop("_key")
+    back2 = F.coalesce("g2", F.lit(0.0)) + F.coalesce("p1", F.lit(float(np.log(unseen))))
+    back3 = F.coalesce("g3", F.lit(0.0)) + F.coalesce("p2", back2)
+    logs = cut(logs.select(code.alias("raw"), F.coalesce("p3", back3).alias("clean")))
+    sums = by_word(grams, logs).groupBy(F.col("_row").alias("_of")).agg(
+        (F.sum(F.col("clean") * F.col("size")) / F.sum("size")).alias("_mean")
+    )
+    perplexity = F.when(F.isnotnull("_mean"), F.round(F.exp(F.least(-F.col("_mean"), F.lit(700.0))), 6))
+    joined = rows.join(sums, F.col("_row") == F.col("_of"), "left")
+    return joined.withColumn("perplexity", perplexity).drop("_row", "_of", "_text", "_mean")
+
+
+def scorer(model: DataFrame, unseen: float) -> Callable[[DataFrame, Column], DataFrame]:
+    """Adds ``perplexity`` of a text column to a table: by shards that are broadcast while they are
+    ``MAX_SHARDS`` at most, by joins beyond that."""
+    if model.count() > SHARD * MAX_SHARDS:
+        return lambda df, text: joined_perplexity(df, model, unseen, text)
+    fitted = shards(model, unseen)
+    return lambda df, text: df.withColumn("perplexity", perplexity_column(df, fitted, text))
+
+
 class Classifier:
-    """The shards of a trained model and the table of thresholds (``_lang, threshold``)."""
+    """What scores texts with a trained model and the table of thresholds (``_lang, threshold``)."""
 
-    def __init__(self, model: list[Shard], thresholds: DataFrame, overall: float | None, scores: DataFrame):
-        self.model, self.thresholds, self.overall, self.scores = model, thresholds, overall, scores
+    def __init__(self, scored: Callable, thresholds: DataFrame, overall: float | None, scores: DataFrame):
+        self.scored, self.thresholds, self.overall, self.scores = scored, thresholds, overall, scores
 
     def with_threshold(self, df: DataFrame, lang_col: str) -> DataFrame:
         known = self.thresholds
@@ -306,37 +353,25 @@ def fit(
 ) -> Classifier:
     """Train on trusted documents and set thresholds by language.
 
-    The model is fitted on at most ``TRAIN_DOCUMENTS`` trusted documents of at most
-    ``TRAIN_CHARACTERS``, those whose ids hash lowest. All documents are scored; a threshold is
-    the ``QUANTILE`` of the perplexities of the trusted ones that were not trained on (of all
-    trusted ones, if no other is left) in its language, times ``SLACK``. A language without
-    trusted documents has the threshold of all languages together; if nothing is trusted, there is
-    none and every text that is not empty passes.
+    The model counts every trusted document whole. All documents are scored; a threshold is the
+    ``QUANTILE`` of the perplexities of all trusted documents in its language, times ``SLACK``, which
+    also allows for their being the ones trained on. A language without trusted documents has the
+    threshold of all languages together; if nothing is trusted, there is none and every text that is
+    not empty passes.
     """
     trusted = cut(trusted_ids(labels, id_col))
-    sample = F.broadcast(
-        trusted.withColumn("_h", F.xxhash64("_trusted")).orderBy("_h", "_trusted").limit(TRAIN_DOCUMENTS)
-        .select("_trusted")
-    )
-    texts = df.where(F.length(text_of(text_col)).between(1, TRAIN_CHARACTERS)).join(
-        sample, F.col(id_col) == F.col("_trusted"), "left_semi"
-    )
-    model, unseen = train(texts.select(F.col(text_col).cast("string").alias("text")))
-    fitted = shards(model, unseen)
-    read = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), text_of(text_col).alias("_text"))
-    scores = cut(
-        read.select("_id", "_lang", perplexity_column(df, fitted, F.col("_text")).alias("perplexity"))
-    )
-    held = scores.where("perplexity is not null").join(
-        trusted.withColumnRenamed("_trusted", "_id"), "_id", "left_semi"
-    )
-    held = held.join(sample.withColumn("_used", F.lit(1)), F.col("_id") == F.col("_trusted"), "left")
+    known = broadcast_if_small(trusted)
+    texts = df.where(F.length(text_of(text_col)) > 0).select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    model, unseen = train(texts.join(known, F.col(id_col) == F.col("_trusted"), "left_semi").select("text"))
+    scored = scorer(model, unseen)
+    read = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), text_of(text_col).alias("_t"))
+    scores = cut(scored(read, F.col("_t")).select("_id", "_lang", "perplexity"))
+    held = scores.where("perplexity is not null").join(known, F.col("_id") == F.col("_trusted"), "left_semi")
     value = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10_000))
-    unused = F.percentile_approx(F.when(F.col("_used").isNull(), F.col("perplexity")), F.lit(QUANTILE), F.lit(10_000))
-    threshold = (F.coalesce(unused, value) * SLACK).alias("threshold")
+    threshold = (value * SLACK).alias("threshold")
     thresholds = cut(held.groupBy("_lang").agg(threshold))
     overall = held.agg(threshold).first()["threshold"]
-    return Classifier(fitted, thresholds, overall, scores)
+    return Classifier(scored, thresholds, overall, scores)
 
 
 def classify(
@@ -363,6 +398,6 @@ def keep_accepted(
     fitted = fit(df, labels, id_col, text_col, lang_col)
     plain = df.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(df.columns)])
     at = {c: f"_{i}" for i, c in enumerate(df.columns)}
-    scored = plain.withColumn("perplexity", perplexity_column(df, fitted.model, text_of(at[text_col])))
+    scored = fitted.scored(plain, text_of(at[text_col]))
     kept = fitted.with_threshold(scored, at[lang_col]).where(accepted())
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns)])

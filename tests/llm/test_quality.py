@@ -129,3 +129,34 @@ def test_empty(frame):
     docs, labels = corpus(20)
     assert Q.classify(frame([], DOCS), frame(labels, LABELS)).collect() == []
     assert Q.keep_accepted(frame([], DOCS), frame(labels, LABELS)).collect() == []
+
+
+def test_every_trusted_document_is_counted_whole(frame, monkeypatch):
+    docs, labels = corpus(60)
+    docs.append((1000, "zq" * 15_000, "en", "x", 0.5))
+    trusted = {i for i, quality, _ in [*labels, (1000, 1, 0)] if quality}
+    seen = []
+    train = Q.train
+    monkeypatch.setattr(Q, "train", lambda texts: seen.append(sorted(r[0] for r in texts.collect())) or train(texts))
+    monkeypatch.setattr(Q, "TRAIN_DOCUMENTS", 5, raising=False)
+    Q.fit(frame(docs, DOCS), frame([*labels, (1000, 1, 0)], LABELS))
+    assert seen == [sorted(d[1] for d in docs if d[0] in trusted)]
+
+
+def test_large_models_are_joined(frame, monkeypatch):
+    docs, labels = corpus(80)
+    docs += [(None, docs[1][1], "en", "x", 0.0), (900, None, "en", "x", 0.0), (901, "", None, "x", 0.0), (902, "é😀 unseen", "xx", "x", 0.0)]
+    df, marks = frame(docs, DOCS), frame(labels, LABELS)
+    want = {r["doc_id"]: r for r in Q.classify(df, marks).collect()}
+    kept = sorted(str(r) for r in Q.keep_accepted(df, marks).collect())
+    monkeypatch.setattr(Q, "SHARD", 100)
+    monkeypatch.setattr(Q, "AT_ONCE", 50)
+    monkeypatch.setattr(Q, "perplexity_column", None)
+    got = Q.classify(df, marks).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        other = want[r["doc_id"]]
+        assert r["threshold"] == pytest.approx(other["threshold"], rel=1e-5)
+        assert (r["perplexity"] or 0) == pytest.approx(other["perplexity"] or 0, rel=1e-5)
+        assert r["accepted"] == other["accepted"]
+    assert sorted(str(r) for r in Q.keep_accepted(df, marks).collect()) == kept
