@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provender import schema as S
+from provender.functions.partitions import dealt
 from provender.operators.decode import Decoder
 from provender.plans.purchases import CASES, read
 from provender.rules.fixed_values import HIERARCHY
@@ -18,6 +19,8 @@ from provender.rules.ruleset import RuleSet, category_groups
 CATEGORIES = sorted(category_groups(HIERARCHY))
 GROUPS = sorted(HIERARCHY)
 BASIC_TYPES = sorted({case[3].strip().lower() for case in CASES})
+#: A vector is over a hundred scores in long form, some 13 KB in a sort, so a task gets this many.
+VECTORS_PER_TASK = 10_000
 # Labels of the other heads.
 PACKAGING = ["None", "canned", "ss"]
 FROZEN = ["None", "frozen"]
@@ -83,7 +86,7 @@ def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.explode(
         F.array(*[F.struct(F.lit(h).alias("head"), c.alias("scores")) for h, c in score_columns().items()])
     )
-    rows = vectors(spark, sf_dir).select("vec_id", each.alias("s"))
+    rows = dealt_vectors(spark, sf_dir).select("vec_id", each.alias("s"))
     return rows.select("vec_id", "s.head", F.posexplode("s.scores").alias("index", "score"))
 
 
@@ -93,6 +96,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors by hash of their id, a bounded number a task, for what makes many rows of each.
+
+    Whatever is then grouped by the id stays where it is."""
+    rows = vectors(spark, sf_dir)
+    return dealt(rows, ["vec_id"], rows.count(), VECTORS_PER_TASK)
+
+
 def score_columns() -> dict[str, Column]:
     """Raw scores per head from the vector column ``e``."""
     e = F.col("e")

@@ -6,6 +6,7 @@ from provender import schema as S
 from provender.functions.partitions import dealt
 from provender.operators import clean, dataset
 from provender.plans import queries as Q
+from provender.plans import scores
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
@@ -46,3 +47,13 @@ def test_only_columns_of_the_result_are_kept(spark, sf_dir):
     rows = Q._for_sorting(spark, sf_dir, [S.PRODUCT_NAME, S.NORMALIZED_NAME, S.PRODUCT_NAME])
     assert rows.columns == [S.ROW_ID, S.PRODUCT_NAME, S.NORMALIZED_NAME] and rows.is_cached
     spark.catalog.clearCache()
+
+
+def test_long_scores_are_dealt_by_vector_and_stay(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(scores, "VECTORS_PER_TASK", 20)
+    rows = scores.long_scores(spark, sf_dir)
+    count = scores.vectors(spark, sf_dir).count()
+    sizes = rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("vec_id").alias("n")).collect()
+    assert sum(r["n"] for r in sizes) == count and max(r["n"] for r in sizes) < 60
+    plan = rows.groupBy("vec_id", "head").agg(F.max("score"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
