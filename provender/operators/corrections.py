@@ -23,6 +23,8 @@ BITS, MAX_BITS = 12, 1 << 28
 #: Bits in one bitmap of Spark's bitmap aggregation (a fixed value of Spark).
 BITMAP = 32_768
 HASHES = 3
+#: About as many words, or places of words in the filter, are sorted by one task.
+ROWS_PER_TASK = 250_000
 
 
 def closed(corrections: DataFrame) -> DataFrame:
@@ -30,7 +32,8 @@ def closed(corrections: DataFrame) -> DataFrame:
 
     Each round replaces the end of every chain by what that is corrected to so far, so chains double
     and a chain of n corrections takes log2(n) rounds. A cycle never ends; it is an error, as is a word
-    with two corrections. Rows with a null say nothing and are left out; repeated rows count once.
+    with two corrections. An end that many chains share is joined by broadcast, and the rows of each round are dealt
+    anew, so that no task gets them all. Rows with a null say nothing and are left out; repeated rows count once.
     """
     by_word = corrections.where("raw is not null and clean is not null").groupBy("raw")
     state = kept(by_word.agg(F.min("clean").alias("clean"), F.max("clean").alias("_other")))
@@ -38,14 +41,20 @@ def closed(corrections: DataFrame) -> DataFrame:
     if double:
         raise RuleError(f"{double['raw']!r} has two corrections")
     state = state.select("raw", "clean", F.lit(True).alias("open"))
-    rounds = max(1, state.count()).bit_length() + 1
+    size = max(1, state.count())
+    rounds, pieces = size.bit_length() + 1, -(-size // ROWS_PER_TASK)
     for _ in range(rounds):
         ends = state.select(F.col("raw").alias("_word"), F.col("clean").alias("_next"))
         moving = state.where("open")
-        moved = moving.join(ends, F.col("clean") == F.col("_word"), "left").select(
+        hot = _frequent(moving, "clean")
+        found = ends.join(F.broadcast(hot), F.col("_word") == F.col("clean")).select("clean", "_next")
+        often = moving.join(F.broadcast(hot), "clean").join(F.broadcast(found), "clean", "left")
+        rest = moving.join(F.broadcast(hot), "clean", "left_anti")
+        rest = rest.join(ends, F.col("clean") == F.col("_word"), "left").select("clean", "raw", "open", "_next")
+        moved = often.select(*rest.columns).unionByName(rest).select(
             "raw", F.coalesce("_next", "clean").alias("clean"), F.isnotnull("_next").alias("open")
         )
-        state = kept(moved.union(state.where("not open")))
+        state = kept(moved.union(state.where("not open")).repartition(pieces, "raw"))
         if state.where("open").isEmpty():
             return state.select("raw", "clean")
     stuck = state.where("open").first()
@@ -73,10 +82,13 @@ def may_hold(words: DataFrame, column: str):
     The filter is a Bloom filter made of bitmaps that Spark aggregates, at most ``MAX_BITS`` bits, or
     32 MB, whatever the number of words.
     """
-    bits = min(MAX_BITS, max(BITMAP, 1 << (BITS * max(1, words.count()) - 1).bit_length()))
+    size = max(1, words.count())
+    bits = min(MAX_BITS, max(BITMAP, 1 << (BITS * size - 1).bit_length()))
     set_bits = words.select(F.explode(F.array(*_places(F.col(column), bits))).alias("place"))
     bitmaps = (
-        set_bits.groupBy(F.floor(F.col("place") / BITMAP).alias("bucket"))
+        set_bits.select("place", F.floor(F.col("place") / BITMAP).alias("bucket"))
+        .repartition(-(-HASHES * size // ROWS_PER_TASK), "bucket")
+        .groupBy("bucket")
         .agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BITMAP).cast("long"))).alias("bitmap"))
         .collect()
     )
@@ -99,6 +111,13 @@ def may_hold(words: DataFrame, column: str):
     return lambda word: held_all(*_places(word, bits))
 
 
+def _frequent(rows: DataFrame, column: str) -> DataFrame:
+    """The values with more than a quarter of a partition's mean of the rows, at most four a partition."""
+    hot_words = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return kept(counts.where(F.col("n") * hot_words > rows.count()).select(column))
+
+
 def by_word(rows: DataFrame, words: DataFrame) -> DataFrame:
     """``rows`` (with ``token``) that ``words`` (``raw`` unique, ``clean``) has, with ``clean``.
 
@@ -106,12 +125,7 @@ def by_word(rows: DataFrame, words: DataFrame) -> DataFrame:
     partition's mean are at most four a partition, so they are broadcast with their corrections,
     and only the others are joined by a shuffle. ``rows`` is read several times.
     """
-    spark = rows.sparkSession
-    hot_words = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.count()
-    hot = kept(
-        rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * hot_words > total).select("token")
-    )
+    hot = _frequent(rows, "token")
     hot_pairs = words.join(F.broadcast(hot), F.col("raw") == F.col("token")).select("raw", "clean")
     same = F.col("token") == F.col("raw")
     often = rows.join(F.broadcast(hot_pairs), same).drop("raw")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.functions.partitions import dealt
-from provender.operators import clean, dataset
+from provender.operators import clean, corrections, dataset
 from provender.plans import queries as Q
 from provender.plans import scores
 
@@ -57,3 +57,15 @@ def test_long_scores_are_dealt_by_vector_and_stay(spark, sf_dir, monkeypatch):
     assert sum(r["n"] for r in sizes) == count and max(r["n"] for r in sizes) < 60
     plan = rows.groupBy("vec_id", "head").agg(F.max("score"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_chains_with_one_end_do_not_gather_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(corrections, "ROWS_PER_TASK", 100)
+    key = F.col("id") + 1
+    pairs = spark.range(2000).select(
+        F.concat(F.lit("w"), key).alias("raw"), F.concat(F.lit("w"), F.floor(key / 2)).alias("clean")
+    )
+    done = corrections.closed(pairs)
+    assert done.count() == 2000 and done.where("clean <> 'w0'").isEmpty()
+    sizes = done.groupBy(F.spark_partition_id()).agg(F.count("raw").alias("n")).collect()
+    assert max(r["n"] for r in sizes) < 200
