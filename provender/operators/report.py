@@ -12,28 +12,45 @@ from provender.functions.expressions import list_text, lookup
 MISC_SORT = [S.FPG, S.FPC, S.BASIC_TYPE]
 EXPORT_SORT = [S.FPG, S.FPC, S.BASIC_TYPE, "Sub-Type 1", "Sub-Type 2"]
 SCORING_RENAMES = {"Origin Detail": "Producer/Processor"}
+# Kinds of columns that a sort packs into one value, if there are so many of them.
+PACKED, MIN_PACKED = ("string", "array<string>"), 3
 
 
 def _columns(names):
     return [F.col(S.quoted(c)) for c in names]
 
 
-def _sorted(df: DataFrame, names: list[str]) -> DataFrame:
-    """Global order, nulls last, ties in input order where a ``row_id`` is there."""
-    tie = [S.ROW_ID] if S.ROW_ID in df.columns else []
-    return df.orderBy(*[c.asc_nulls_last() for c in _columns([*names, *tie])])
+def _sorted(df: DataFrame, names: list[str], shown: list[str]) -> DataFrame:
+    """The columns ``shown`` in a global order by ``names``, nulls last, ties in input order where a ``row_id`` is there.
+
+    A sort sends whole rows over the disks. Text that it does not compare goes along as one value: a place for each of
+    many columns, most of them null, takes more room than what they hold."""
+    keys = [*names, *([S.ROW_ID] if S.ROW_ID in df.columns else [])]
+    order = [c.asc_nulls_last() for c in _columns(keys)]
+    kinds = {c: df.schema[c].dataType.simpleString() for c in shown if c not in keys}
+    packed = [c for c, kind in kinds.items() if kind in PACKED]
+    if len(packed) < MIN_PACKED:
+        return df.orderBy(*order).select(*_columns(shown))
+    number = {c: f"c{i}" for i, c in enumerate(packed)}
+    whole = F.to_json(F.struct(*[F.col(S.quoted(c)).alias(n) for c, n in number.items()]))
+    others = [c for c in kinds if c not in number]
+    rows = df.select(*_columns([*keys, *others]), whole.alias("_packed")).orderBy(*order)
+    fields = ", ".join(f"{n} {kinds[c]}" for c, n in number.items())
+    opened = F.from_json("_packed", fields, {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)})
+    # ``inline`` takes a row apart once, not once for each column.
+    rows = rows.select(*_columns([*keys, *others]), F.inline(F.array(opened)))
+    return rows.select(*[F.col(S.quoted(number.get(c, c))).alias(c) for c in shown])
 
 
 def normalized_export(df: DataFrame, *, ordered: bool = True) -> DataFrame:
     """The 22 export columns; ``Product Name`` is the cleaned original."""
-    df = _sorted(df, EXPORT_SORT) if ordered else df
-    return df.select(*_columns(S.EXPORT_COLUMNS))
+    return _sorted(df, EXPORT_SORT, S.EXPORT_COLUMNS) if ordered else df.select(*_columns(S.EXPORT_COLUMNS))
 
 
 def misc_overflow(df: DataFrame, *, ordered: bool = True, as_text: bool = False) -> DataFrame:
     """Rows with more sub-types than columns. Non-food rows, whose Misc is null, count too."""
     df = df.filter(F.col(S.MISC).isNull() | (F.size(S.MISC) > 0))
-    df = _sorted(df, MISC_SORT) if ordered else df
+    df = _sorted(df, MISC_SORT, S.MISC_EXPORT_COLUMNS) if ordered else df
     misc = list_text(F.col(S.MISC)) if as_text else F.col(S.MISC)
     return df.withColumn(S.MISC, misc).select(*_columns(S.MISC_EXPORT_COLUMNS))
 
@@ -43,8 +60,8 @@ def name_differences(df: DataFrame, *, ordered: bool = True) -> DataFrame:
     name, normalized = F.col(S.quoted(S.PRODUCT_NAME)), F.col(S.quoted(S.NORMALIZED_NAME))
     df = df.filter(~name.eqNullSafe(normalized))
     df = df.withColumns({"self": name, "other": normalized})
-    df = _sorted(df, ["self"]) if ordered else df
-    return df.select(*_columns([S.PRODUCT_TYPE, "self", "other"]))
+    shown = [S.PRODUCT_TYPE, "self", "other"]
+    return _sorted(df, ["self"], shown) if ordered else df.select(*_columns(shown))
 
 
 def scoring_export(df: DataFrame) -> DataFrame:
