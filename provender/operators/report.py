@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provender import schema as S
-from provender.functions.expressions import list_text, lookup
+from provender.functions.expressions import list_text, lookup, packed, unpacked
 
 # The orders of the exported tables.
 MISC_SORT = [S.FPG, S.FPC, S.BASIC_TYPE]
@@ -23,23 +23,16 @@ def _columns(names):
 def _sorted(df: DataFrame, names: list[str], shown: list[str]) -> DataFrame:
     """The columns ``shown`` in a global order by ``names``, nulls last, ties in input order where a ``row_id`` is there.
 
-    A sort sends whole rows over the disks. Text that it does not compare goes along as one value: a place for each of
-    many columns, most of them null, takes more room than what they hold."""
+    A sort sends whole rows over the disks, so that text that it does not compare goes along as one value."""
     keys = [*names, *([S.ROW_ID] if S.ROW_ID in df.columns else [])]
     order = [c.asc_nulls_last() for c in _columns(keys)]
     kinds = {c: df.schema[c].dataType.simpleString() for c in shown if c not in keys}
-    packed = [c for c, kind in kinds.items() if kind in PACKED]
-    if len(packed) < MIN_PACKED:
+    together = {c: kind for c, kind in kinds.items() if kind in PACKED}
+    if len(together) < MIN_PACKED:
         return df.orderBy(*order).select(*_columns(shown))
-    number = {c: f"c{i}" for i, c in enumerate(packed)}
-    whole = F.to_json(F.struct(*[F.col(S.quoted(c)).alias(n) for c, n in number.items()]))
-    others = [c for c in kinds if c not in number]
-    rows = df.select(*_columns([*keys, *others]), whole.alias("_packed")).orderBy(*order)
-    fields = ", ".join(f"{n} {kinds[c]}" for c, n in number.items())
-    opened = F.from_json("_packed", fields, {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)})
-    # ``inline`` takes a row apart once, not once for each column.
-    rows = rows.select(*_columns([*keys, *others]), F.inline(F.array(opened)))
-    return rows.select(*[F.col(S.quoted(number.get(c, c))).alias(c) for c in shown])
+    others = [c for c in kinds if c not in together]
+    rows = df.select(*_columns([*keys, *others]), packed(together).alias("_packed")).orderBy(*order)
+    return unpacked(rows, "_packed", together).select(*_columns(shown))
 
 
 def normalized_export(df: DataFrame, *, ordered: bool = True) -> DataFrame:

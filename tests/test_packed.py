@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.functions import shared
+from provender.operators import normalize as N
 from provender.operators import report
 from provender.plans import queries as Q
 
@@ -74,3 +75,21 @@ def test_the_written_export_caches_nothing(spark, sf_dir):
     assert not list(folder.glob("rows-*"))
     assert done.count() == Q.q_normalized_export(spark, sf_dir).count()
     spark.catalog.clearCache()
+
+
+def test_distinct_rows_are_found_by_digest(spark, make_rows):
+    """Rows were joined on five columns of text, and sent all of them beside the thirty of the result."""
+    odd = [f"{x}abc, cut" for x in ODD if x is not None]
+    rows = [(g, c, c, p, n) for i, n in enumerate(odd) for p in odd[i:] for g, c in (("Produce", "Fruit"), (None, None))]
+    # Equal but for where a null stands, and where one column ends and the next begins.
+    rows += [(None, "a", "b", "apple", "red"), ("a", None, "b", "apple", "red"), ("a", "b", None, "applered", "")] * 3
+    df = make_rows(rows)
+    direct, distinct = N.normalize(df), N.normalize(df, distinct_first=True)
+    plan = distinct._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [line for line in plan if re.search(r"(SortMerge|Hash)Join ", line)]
+    assert len(joins) == 1 and re.search(r"\[_digest#\d+\], \[_digest#\d+\]", joins[0])
+    keys = [re.search(r"hashpartitioning\((\w+)", line).group(1) for line in plan if "hashpartitioning(" in line]
+    assert sorted(keys) == ["_digest", "_digest", "_packed"]
+    assert distinct.dtypes == direct.dtypes
+    key = lambda row: row[S.ROW_ID]
+    assert sorted(distinct.collect(), key=key) == sorted(direct.collect(), key=key)
