@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from provender import schema as S
 from provender.functions import shared
+from provender.operators import clean, report
 from provender.operators import normalize as N
-from provender.operators import report
 from provender.plans import queries as Q
 
 ODD = ["", " ", None, 'a "quoted", text', "line\nbreak\r", "\x00\x1f\\", "ü 😀", "null", "{}", "[]", "\\N"]
@@ -93,3 +93,21 @@ def test_distinct_rows_are_found_by_digest(spark, make_rows):
     assert distinct.dtypes == direct.dtypes
     key = lambda row: row[S.ROW_ID]
     assert sorted(distinct.collect(), key=key) == sorted(direct.collect(), key=key)
+
+
+def test_filters_look_through_white_space(spark):
+    space, placeholder = "\t\xa0 　\n", clean.EXCLUDED_PRODUCT_TYPE
+    texts = [f"{a}{t}{b}" for t in ["", "ab", "abc", "a c", "a\nc", "é🙂z", "🙂🙂", placeholder, f"{placeholder} x", f"x {placeholder}", placeholder * 2]
+             for a in ("", space) for b in ("", space)]
+    rows = [(str(i), "o", t, "name", "Meat", "Beef", "Beef") for i, t in enumerate([*texts, None])]
+    df = spark.createDataFrame(rows, [*S.ID_COLUMNS, *S.GROUP_COLUMNS])
+    for least in (0, 1, 2, 3, 4):
+        got = {r["Unique Id"]: r[S.PRODUCT_TYPE] for r in clean.clean_rows(df, min_length=least).collect()}
+        want = {str(i): t.strip() for i, t in enumerate(texts) if len(t.strip()) >= least and t.strip() != placeholder}
+        assert got == want
+
+
+def test_the_fold_walks_no_lists_of_branches(rules):
+    """Uncompiled, ``F.when`` finds a branch by walking a list; a token's step held dozens of them."""
+    state = str(N.row_state(rules)._jc)
+    assert state.count("CASE WHEN") + state.count("when(") < 12
